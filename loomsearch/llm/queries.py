@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, secrets, token_files, url_rules, warc
+from . import bpe, exact_dedup, language_id, minhash, mixing, secrets, token_files, url_rules, vector_dedup, warc
 from .common import table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -40,6 +40,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANK_FILE)
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.assign(table(spark, sf_dir, "embeddings"))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.apply_rules(table(spark, sf_dir, "pages"), RULES)
 
@@ -57,5 +61,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.assign(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_secret_scan, op2_source_mix, op3_language_id, op4_bpe, op6_url_rules, op7_token_files, op8_warc, op9_exact_dedup)}
+    op1_secret_scan, op2_source_mix, op3_language_id, op4_bpe, op5_vector_dedup, op6_url_rules, op7_token_files, op8_warc, op9_exact_dedup,
+    op10_minhash)}
