@@ -180,20 +180,23 @@ def held(rank_file: str) -> DuckBpe:
     return _held[rank_file]
 
 
-def encode_decode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (array of int), decoded (binary) per document."""
+def encode_decode(docs: DataFrame, rank_file: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The columns ``keep``, n_tokens, ids (array of int) and decoded (binary) per document."""
     ship(docs.sparkSession)
-    base = docs.select(id_col, text_col)
+    base = docs.select(text_col, *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = held(rank_file)
         for part in (batch.slice(k, 500) for batch in batches for k in range(0, batch.num_rows, 500)):
-            ids = bpe.encode([t or "" for t in part.column(1).to_pylist()])
+            ids = bpe.encode([t or "" for t in part.column(0).to_pylist()])
             lengths = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-            yield pa.record_batch({id_col: part.column(0), "ids": pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat)), "decoded": pa.array(bpe.decode(ids), pa.binary())})
+            flat = np.concatenate(ids).astype(np.int32)
+            yield pa.record_batch({name: part.column(i + 1) for i, name in enumerate(keep)} | {
+                "n_tokens": pa.array(np.diff(lengths).astype(np.int64)), "ids": pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat)),
+                "decoded": pa.array(bpe.decode(ids), pa.binary())})
 
-    return base.mapInArrow(run, f"`{id_col}` {base.schema[0].dataType.simpleString()}, ids array<int>, decoded binary")
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[1:])
+    return base.mapInArrow(run, f"{shape}, n_tokens bigint, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -201,3 +201,28 @@ def taken_words(rows: DataFrame, targets: DataFrame, blocks: DataFrame) -> DataF
     t = targets.select(F.col("source").alias("name"), "source_size", "target")
     return rows.join(sums, same, "left").join(F.broadcast(t) if few else t, F.col("source").eqNullSafe(F.col("name"))).select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken"))
+
+
+#: Rows of the mix up to which it is broadcast to the documents (some 60 bytes each); beyond, both are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def mix_documents(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
+    """The mix as rows of ``docs`` with all their columns, whole documents as often as the mix takes them, shard by shard.
+
+    Quotas are met to half a document: the one at a source's edge comes whole or not at all.
+    """
+    rows, _, blocks = mix(docs, 0, shards, seed)
+    key = ("doc_id", "source", "size", "copy_of")
+    mixed = blocks.select(*(F.col(k).alias(f"__{k}") for k in key), F.col("shard").alias("__shard"), F.col("place").alias("__place"))
+    inner = docs.select(F.struct("*").alias("row"), "doc_id", "source", words_in().alias("size"))
+    ties = cut(rows.filter("copy_of > 0").select(*(F.col(k).alias(f"__{k}") for k in key[:3])).distinct(), "mix-ties")
+    same = lambda n: [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key[:n]]
+    if ties.isEmpty():
+        numbered = inner.withColumn("copy_of", F.lit(0).cast("bigint"))
+    else:  # rows that agree in id, source and size are told apart by number
+        order = W.partitionBy(*key[:3]).orderBy(F.to_json("row"))
+        numbered = inner.join(ties, same(3), "left_anti").withColumn("copy_of", F.lit(0).cast("bigint")).unionByName(
+            inner.join(ties, same(3), "left_semi").withColumn("copy_of", (F.row_number().over(order) - 1).cast("bigint")))
+    out = numbered.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed, same(4))
+    return out.repartition(shards, "__shard").sortWithinPartitions("__shard", "__place").select("row.*")
