@@ -2,7 +2,7 @@
 
 Per language, a suffix automaton of labelled passages is built. A text is parsed greedily into the longest phrases that
 occur in the passages; the language that needs the fewest phrases per letter wins. The automaton is kept as a table
-(state, symbol) -> state whose sign tells that a phrase ended, so texts are parsed side by side in array steps: a text is
+(state, symbol) -> state whose sign tells that a phrase begins, so texts are parsed side by side in array steps: a text is
 cut into windows of ``WINDOW`` symbols, each parsed on its own, whole texts always.
 
 Symbols are lower-cased letters that the training passages hold, one for any other letter, one for runs of the rest.
@@ -93,7 +93,7 @@ class Model:
         return s[keep], np.flatnonzero(keep)
 
     def _table(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Suffix automaton of all passages (each starts anew at the root), as (states * width) targets; negative: a phrase ends first."""
+        """Suffix automaton of all passages (each starts anew at the root), as (states * width) targets; negative: a phrase begins."""
         go: list[dict[int, int]] = [{}]
         link, size = [-1], [0]
         for text in texts:
@@ -137,14 +137,15 @@ class Model:
                             go[p][c] = twin
                             p = link[p]
                 last = new
-        root = np.zeros(self.width, np.int32)
+        # One more state, for the start and for behind a symbol that the passages lack, which is a phrase of its own: whatever follows begins a phrase.
+        root = np.full(self.width, len(go), np.int32)
         for c, q in go[0].items():
             root[c] = q
-        table = np.tile(root * self.width - 2**30, (len(go), 1)).astype(np.int32)  # targets are kept times width
+        table = np.tile(root * self.width - 2**30, (len(go) + 1, 1)).astype(np.int32)  # targets are kept times width
         for state, edges in enumerate(go):
             for c, q in edges.items():
                 table[state, c] = q * self.width
-        table[:, self.pad] = np.arange(len(go), dtype=np.int32) * self.width
+        table[:, self.pad] = np.arange(len(go) + 1, dtype=np.int32) * self.width
         return table.ravel()
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -168,14 +169,14 @@ class Model:
         steps = np.ascontiguousarray(grid.T)
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         for k, table in enumerate(self.tables):
-            state = np.zeros(steps.shape[1], np.int32)
-            ended = np.ones(steps.shape[1], np.int32)
+            state = np.full(steps.shape[1], len(table) - self.width, np.int32)
+            begun = np.zeros(steps.shape[1], np.int32)
             for x in steps:
                 to = table[state + x]
                 new = to < 0
-                ended += new
+                begun += new
                 state = to + (new.astype(np.int32) << 30)
-            out[:, k] = np.bincount(of, ended, len(texts))
+            out[:, k] = np.bincount(of, begun, len(texts))
         return out, alpha
 
     _lower: np.ndarray | None = None
