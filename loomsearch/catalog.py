@@ -227,8 +227,7 @@ def url_parts(spark, sf_dir):
 @query(f"WITH {_PAGES_URLS}, {O.URL_PARTS}, {O.url_scores([['example', 'en'], ['thth']])} SELECT page_id, url_score, short_path FROM url_scored")
 def url_score(spark, sf_dir):
     leaves = ranking_leaves(parse('"example en" thth'))
-    url = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", ranking.url_score(url, leaves).cast("int").alias("url_score"), ranking.short_path(url).alias("short_path"))
+    return ranking.with_url_scores(table(spark, sf_dir, "pages").select("page_id", "url"), leaves).select("page_id", F.col("url_score").cast("int"), "short_path")
 
 
 _CHECKS = ["https://a.org/x", "ftp://a.org", "http://porn.example.com/", "https://b.example.com:8080/p/q?x=1#y", "HTTP://A.org", "no-scheme", "https://en.wikipedia.org/wiki/Word", "http://c.org?q", "www.x.com/a?b", "https://" + "l" * 243]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import ranking_parts
@@ -67,12 +67,19 @@ def _points(score: Column, steps: list[tuple[float, int]]) -> Column:
     return out
 
 
-def url_score(url: Column, leaves: list[list[str]]) -> Column:
-    """Best term by share of the host, else of the path; more if all terms of a leaf occur. A short path gives host points."""
-    parts = ranking_parts(url)
-    host, path = parts["host"], parts["path"]
+def with_url_scores(rows: DataFrame, leaves: list[list[str]], url: str = "url") -> DataFrame:
+    """``rows`` with url_host, url_path, url_score and short_path.
+
+    Best term by share of the host, else of the path; more if all terms of a leaf occur. A short path gives host points.
+    Parts and shares are columns of their own steps, so that each is computed once.
+    """
+    parts = rows.withColumn("url_parts", ranking_parts(F.col(url)))
+    parts = parts.withColumn("url_host", F.col("url_parts.host")).withColumn("url_path", F.col("url_parts.path")).drop("url_parts")
+    host, path = F.col("url_host"), F.col("url_path")
     every = [t for leaf in leaves for t in leaf]
-    best = lambda part: F.greatest(F.lit(0.0).cast("float"), *(match_score(t, part) for t in every), F.lit(0.0).cast("float"))
+    zero = F.lit(0.0).cast("float")
+    best = lambda part: F.greatest(zero, *(match_score(t, part) for t in every), zero)
+    shares = parts.withColumn("host_share", best(host)).withColumn("path_share", best(path))
     extra = F.lit(0)
     for leaf in leaves:
         if len(leaf) > 1:
@@ -80,14 +87,11 @@ def url_score(url: Column, leaves: list[list[str]]) -> Column:
                 extra = extra + F.when(reduce(lambda a, b: a & b, (F.contains(part, F.lit(t)) for t in leaf)), points).otherwise(0)
     halves = lambda p: (p, p // 2, p // 4)
     narrow, wide = (0.5, 0.3, 0.15), (0.7, 0.5, 0.3)
-    table = lambda cuts, points: list(zip(cuts, halves(points), strict=True))
-    by_host = F.when(F.octet_length(host) <= SHORT, _points(best(host), table(narrow, HOST_POINTS))).otherwise(_points(best(host), table(wide, HOST_POINTS)))
-    by_path = F.when(F.octet_length(path) <= SHORT, _points(best(path), table(narrow, HOST_POINTS))).otherwise(_points(best(path), table(wide, PATH_POINTS)))
-    return F.coalesce(by_host, by_path, F.lit(0)) + extra
-
-
-def short_path(url: Column) -> Column:
-    return F.when(F.octet_length(ranking_parts(url)["path"]) <= SHORT, SHORT_PATH_POINTS).otherwise(0)
+    points = lambda share, cuts, p: _points(F.col(share), list(zip(cuts, halves(p), strict=True)))
+    by_host = F.when(F.octet_length(host) <= SHORT, points("host_share", narrow, HOST_POINTS)).otherwise(points("host_share", wide, HOST_POINTS))
+    by_path = F.when(F.octet_length(path) <= SHORT, points("path_share", narrow, HOST_POINTS)).otherwise(points("path_share", wide, PATH_POINTS))
+    scored = shares.withColumn("url_score", F.coalesce(by_host, by_path, F.lit(0)) + extra)
+    return scored.withColumn("short_path", F.when(F.octet_length(path) <= SHORT, SHORT_PATH_POINTS).otherwise(0)).drop("host_share", "path_share")
 
 
 def is_path_segment(path: Column, word: str) -> Column:
@@ -97,7 +101,6 @@ def is_path_segment(path: Column, word: str) -> Column:
     return (at > 0) & ((at == 1) | (before == "/")) & ((after == "") | (after == "/"))
 
 
-def single_word_bonus(url: Column, word: str) -> Column:
-    parts = ranking_parts(url)
-    known = F.contains(parts["host"], F.lit("wikipedia")) | F.contains(parts["host"], F.lit("dictionary"))
-    return F.when(known & is_path_segment(parts["path"], word), WORD_IN_PATH_POINTS).otherwise(0)
+def single_word_bonus(host: Column, path: Column, word: str) -> Column:
+    known = F.contains(host, F.lit("wikipedia")) | F.contains(host, F.lit("dictionary"))
+    return F.when(known & is_path_segment(path, word), WORD_IN_PATH_POINTS).otherwise(0)

@@ -47,12 +47,11 @@ def scored(index: Index, query: str, compat: bool = False, anchor: str = "query"
         return index.postings.sparkSession.createDataFrame([], RESULT)
     leaves = ranking_leaves(node, negative=compat)
     terms = rarest_first(index, leaves) if anchor == "rarest" else [t for leaf in leaves for t in leaf]
-    rows = found.join(index.docs, ["chunk", "doc_idx"])
-    url, m = F.col("url"), F.col("m")
-    score = R.dynamic_rank(m, terms) + R.url_score(url, leaves) + R.short_path(url)
+    rows = R.with_url_scores(found.join(index.docs, ["chunk", "doc_idx"]), leaves)
+    score = R.dynamic_rank(F.col("m"), terms) + F.col("url_score") + F.col("short_path")
     if len(terms) == 1:
         rows = rows.filter(F.octet_length("url") < LONGEST_SINGLE_URL)
-        score = score + R.single_word_bonus(url, terms[0])
+        score = score + R.single_word_bonus(F.col("url_host"), F.col("url_path"), terms[0])
     if title_weight:
         titles = index.postings.filter(F.col("term").isin(terms) & (F.col("field") == "title")).groupBy("chunk", "doc_idx").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("tm"))
         rows = rows.join(titles, ["chunk", "doc_idx"], "left")

@@ -80,12 +80,13 @@ def test_dynamic_rank(index, corpus, text):
     ("https://apple.com/", [["apple"]], 256), ("https://apple.io/x", [["apple"]], 256), ("https://averylonghostname.com/apple", [["apple"]], 256), ("https://x.org/" + "y" * 20 + "/apple", [["apple"]], 0),
     ("https://x.org/appleappleappleapple", [["appleappleapple"]], 128), ("https://ab-cd.org/", [["ab", "cd"]], 64 + 128), ("https://x.org/ab_cd", [["ab", "cd"]], 128 + 64), ("none", [["apple"]], 0)])
 def test_url_score(spark, url, leaves, points):
-    assert spark.range(1).select(R.url_score(F.lit(url), leaves).alias("s")).first().s == points
+    assert R.with_url_scores(spark.createDataFrame([(url,)], "url string"), leaves).first().url_score == points
 
 
 def test_single_word_bonus(spark):
     rows = [("https://en.wikipedia.org/wiki/apple", 1000), ("https://en.wikipedia.org/wiki/apples", 0), ("https://dictionary.com/apple/x", 1000), ("https://x.org/apple", 0), ("https://en.wikipedia.org/pineapple/apple", 0)]
-    got = [r.s for r in spark.createDataFrame([(u,) for u, _ in rows], "u string").select(R.single_word_bonus(F.col("u"), "apple").alias("s")).collect()]
+    parts = R.with_url_scores(spark.createDataFrame([(u,) for u, _ in rows], "url string"), [["apple"]])
+    got = [r.s for r in parts.select(R.single_word_bonus(F.col("url_host"), F.col("url_path"), "apple").alias("s")).collect()]
     assert got == [s for _, s in rows]
 
 
