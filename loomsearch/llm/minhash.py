@@ -4,11 +4,12 @@ Words are separated by ASCII white space, with A-Z lower-cased; a document's set
 runs of five words (of all its words, if it has fewer). ``BANDS`` * ``ROWS`` universal hashes give a signature of minima.
 Documents with equal words form a class, and only one of each class, the one with the least doc_id, is compared.
 
-Candidates come in two rounds, so that no bucket of a band is expanded into all its pairs. First each bucket's documents
-are paired with its least one. Confirmed links are joined into components. A bucket whose documents then lie in one
-component can add nothing. In the others, documents that are not in the bucket's largest component are compared with all
-the others in blocks of bounded size, by signature, and only pairs across components whose signatures agree go on.
-Links are confirmed on full sets. At a similarity of 0.85 the bands miss a pair with probability 8e-7, the signature
+Candidates come in three rounds, so that no bucket of a band is expanded into all its pairs. First each bucket's documents
+are paired with its least one, then, in buckets that still hold several components, with the one whose signature agrees
+most with the others'. Confirmed links are joined into components; a bucket whose documents lie in one component can add
+nothing. In the others, documents that are not in the bucket's largest component are compared with all the others in
+blocks of bounded size, and only pairs across components go on whose signatures agree and whose sizes and numbers of
+shingles that no other such document has allow the similarity at all. Links are confirmed on full sets. At a similarity of 0.85 the bands miss a pair with probability 8e-7, the signature
 test another 3e-6 (see tests); a pair that any band holds is lost only if its documents are joined by other links.
 
 Defined cases: a null text, or one without words, has size 0 and links with nothing; a null doc_id links with nothing, its
@@ -34,7 +35,7 @@ SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 24, 5
 #: Share of equal minima below which a pair is dropped: 4.6 standard deviations under the threshold.
 AGREE = 0.70
-#: Documents per block in the second round, and pairs of one document that share a copy of its set.
+#: Documents per block in the later rounds, and pairs of one document that share a copy of its set.
 BLOCK, PER_SALT = 256, 256
 #: Ids up to which the documents whose sets are needed are broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
@@ -170,38 +171,91 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) ->
     return out
 
 
-def _across(members: DataFrame, sigs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket whose components differ and whose signatures agree; members: key, doc_id, of buckets of 3 or more."""
+def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """key, doc_id, component, size, most, bulk: the members of buckets that hold several components.
+
+    members: key, doc_id, of buckets of 3 or more; size: documents of the bucket, most: those of its largest component, bulk.
+    """
     placed = members.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = cut(placed, "near-placed")
     counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed = counts.groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("bulk"), F.sum("c").alias("n"), F.max("c").alias("most")).filter("most < n")
-    mixed = cut(mixed.withColumn("lefts", F.ceil(F.col("n") / BLOCK).cast("bigint")).withColumn("rights", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("bigint")), "near-mixed")
-    open_ = skew_join(placed, mixed, "key", placed.count()).join(sigs, "doc_id")
+    mixed = cut(mixed, "near-mixed")
+    out = cut(skew_join(placed, mixed.withColumn("size", F.col("n")), "key", placed.count()), "near-open")
+    discard(placed, mixed)
+    return out
+
+
+def _central(open_: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(a, b): each open bucket's documents with the one whose signature agrees most with those of its block."""
+    n = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = open_.withColumn("i", F.pmod(F.xxhash64("key", "doc_id"), F.ceil(F.col("size") / BLOCK).cast("bigint"))).join(sigs, "doc_id").select("key", "i", "doc_id", "sig")
+    dealt = dealt.repartition(n, "key", "i").sortWithinPartitions("key", "i", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, score = [], [], []
+        for batch, start, stop in key_runs(batches, 2):
+            part = batch.slice(start, stop - start)
+            sig = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
+            agree = np.array([(sig == x).sum() for x in sig])
+            best = int(agree.argmax())
+            keys.append(part.column(0)[0].as_py())
+            ids.append(part.column(2)[best].as_py())
+            score.append(float(agree[best]) / len(sig))
+            if len(keys) >= 10_000:
+                yield pa.record_batch({"key": keys, "a": ids, "score": score})
+                keys, ids, score = [], [], []
+        if keys:
+            yield pa.record_batch({"key": keys, "a": ids, "score": score})
+
+    best = dealt.mapInArrow(run, "key bigint, a bigint, score double").groupBy("key").agg(F.max(F.struct("score", "a"))["a"].alias("a"))
+    counts = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    best = cut(best.join(counts, "key"), "near-central")
+    pairs = skew_join(open_.select("key", "doc_id"), best, "key", open_.count()).filter("doc_id <> a")
+    return cut(pairs.select(F.least("a", "doc_id").alias("x"), F.greatest("a", "doc_id").alias("y"), "a", F.col("doc_id").alias("b")).dropDuplicates(["x", "y"]).select("a", "b"), "near-second")
+
+
+def _shared_shingles(docs: DataFrame, open_: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, size, shared: of each open document the shingles, and those of them that another open document has."""
+    sets = cut(_sets(docs, cut(open_.select("doc_id").distinct(), "near-ids"), id_col, text_col), "near-sets")
+    alone = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    own = alone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    return cut(sets.select("doc_id", F.size("shingles").alias("size")).join(own, "doc_id", "left").select("doc_id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared")), "near-shared")
+
+
+def _across(open_: DataFrame, sigs: DataFrame, shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one open bucket whose components differ and which may be similar enough."""
+    # A link has at least PERCENT of each of its documents in common, so a document with too few shared shingles has none.
+    able = shared.filter(F.col("shared") * 100 >= F.col("size") * PERCENT).select("doc_id", F.col("size").alias("set_size"), "shared")
+    rows = open_.withColumn("lefts", F.ceil(F.col("size") / BLOCK).cast("bigint")).withColumn("rights", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("bigint"))
+    rows = rows.drop("size").join(able.join(sigs, "doc_id"), "doc_id")
     block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    left = open_.select("key", block("lefts").alias("i"), upto("rights").alias("j"), F.lit(0).alias("side"), "doc_id", "component", "sig")
-    right = open_.filter("component <> bulk").select("key", upto("lefts").alias("i"), block("rights").alias("j"), F.lit(1).alias("side"), "doc_id", "component", "sig")
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    more = ["doc_id", "component", F.col("set_size").cast("bigint").alias("set_size"), F.col("shared").cast("bigint").alias("shared"), "sig"]
+    left = rows.select("key", block("lefts").alias("i"), upto("rights").alias("j"), F.lit(0).alias("side"), *more)
+    right = rows.filter("component <> bulk").select("key", upto("lefts").alias("i"), block("rights").alias("j"), F.lit(1).alias("side"), *more)
+    n = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = left.unionByName(right).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
     need = int(np.ceil(AGREE * BANDS * ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, held = [], [], 0
-        last, ids = None, None
+        last = None
         for batch, start, stop in key_runs(batches, 3):
             if batch is not last:
                 last = batch
-                side, ids, comps = (batch.column(c).to_numpy() for c in (3, 4, 5))
-                sigs = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
+                side, ids, comps, sizes, common = (batch.column(c).to_numpy() for c in (3, 4, 5, 6, 7))
+                sigs = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
             cut_at = start + int(np.count_nonzero(side[start:stop] == 0))
             for r in range(cut_at, stop):
-                hit = ((sigs[start:cut_at] == sigs[r]).sum(axis=1) >= need) & (comps[start:cut_at] != comps[r])
-                if hit.any():
-                    found = ids[start:cut_at][hit]
-                    a.append(np.minimum(found, ids[r]))
-                    b.append(np.maximum(found, ids[r]))
-                    held += len(found)
+                most = np.minimum(common[start:cut_at], common[r])
+                hit = (comps[start:cut_at] != comps[r]) & (most * 100 >= (sizes[start:cut_at] + sizes[r] - most) * PERCENT)
+                at = start + np.flatnonzero(hit)
+                at = at[(sigs[at] == sigs[r]).sum(axis=1) >= need]
+                if len(at):
+                    a.append(np.minimum(ids[at], ids[r]))
+                    b.append(np.maximum(ids[at], ids[r]))
+                    held += len(at)
             if held > 50_000:
                 yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
                 a, b, held = [], [], 0
@@ -225,10 +279,20 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     first = cut(members.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "near-first")
     links = _confirmed(docs, _agreeing(first, sigs), id_col, text_col)
     comp = cut(components(links), "near-components")
-    more = _across(members.filter("size > 2").select("key", "doc_id"), sigs, comp).join(first, ["a", "b"], "left_anti")
-    late = _confirmed(docs, more, id_col, text_col)
-    if not late.isEmpty():
-        comp = cut(components(links.unionByName(late)), "near-components")
+    wide = members.filter("size > 2").select("key", "doc_id")
+    open_ = _mixed(wide, comp)
+    if not open_.isEmpty():
+        second = _central(open_, sigs)
+        more = _confirmed(docs, _agreeing(second.join(first, ["a", "b"], "left_anti"), sigs), id_col, text_col)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comp = cut(components(links), "near-components")
+            open_ = _mixed(open_.select("key", "doc_id"), comp)
+        third = _across(open_, sigs, _shared_shingles(docs, open_, id_col, text_col))
+        done = first.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        late = _confirmed(docs, third.join(done, ["a", "b"], "left_anti"), id_col, text_col)
+        if not late.isEmpty():
+            comp = cut(components(links.unionByName(late)), "near-components")
     discard(members, first, buckets, chosen)
     of_class = cut(classes.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component_id"), "n"), "near-of-class")
     found = skew_join(known.select("doc_id", "n_shingles", "cls"), of_class, "cls", known.count()).select("doc_id", "n_shingles", "component_id")

@@ -434,14 +434,34 @@ def test_near(spark):
     assert minhash.assign(docs(spark, [])).count() == 0
 
 
-def test_near_second_round(spark):
-    """Documents of one bucket in several components are compared across them, and only they."""
+def test_near_later_rounds(spark):
+    """Documents of one bucket in several components are compared across them, and only they, unless their own shingles forbid a link."""
     sig = lambda k, other=0: np.array([k] * 110 + [other] * 10, np.uint32).tobytes()
     sigs = spark.createDataFrame([(k, bytearray(sig(k // 5, k))) for k in range(20)], "doc_id bigint, sig binary")
     members = spark.createDataFrame([(7, k) for k in range(10)] + [(8, k) for k in range(10, 13)], "key bigint, doc_id bigint")
     comp = spark.createDataFrame([(k, 0) for k in range(4)] + [(10, 10), (11, 10), (12, 10)], "node bigint, component bigint")
-    got = sorted(map(tuple, minhash._across(members, sigs, comp).collect()))
-    assert got == sorted({(a, b) for a in range(10) for b in range(a + 1, 10) if a // 5 == b // 5 and not (a < 4 and b < 4)})
+    open_ = minhash._mixed(members, comp)
+    assert sorted({(r.key, r["size"], r.most, r.bulk) for r in open_.collect()}) == [(7, 10, 4, 0)]
+    shared = spark.createDataFrame([(k, 100, 80 if k == 9 else 100) for k in range(20)], "doc_id bigint, size int, shared int")
+    got = sorted(map(tuple, minhash._across(open_, sigs, shared).collect()))
+    assert got == sorted({(a, b) for a in range(9) for b in range(a + 1, 9) if a // 5 == b // 5 and not (a < 4 and b < 4)})
+    pairs = [tuple(r) for r in minhash._central(open_, sigs).collect()]
+    assert len({a for a, _ in pairs}) == 1 and len(pairs) == 9
+
+
+def test_near_family(spark):
+    """Copies of a text with one to eight edits: the text's component is found from its centre, heavy edits stay out."""
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(146)]
+    texts = [" ".join(base)]
+    for k in range(120):
+        words = list(base)
+        for _ in range(1 + k % 8):
+            words[rng.randrange(len(words))] = f"e{k}x{rng.randrange(9)}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    got = by_id(minhash.assign(docs(spark, texts)))
+    assert {k: (r.n_shingles, r.component_id) for k, r in got.items()} == brute_near(texts)
 
 
 def test_components(spark):
