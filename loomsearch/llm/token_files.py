@@ -9,7 +9,7 @@ number of tokens. Files are numbered in ascending order of doc_id.
 A task writes under a name of its own and moves the files into place when they are whole, so a task that is lost or run
 twice leaves nothing that is read.
 
-Defined cases: a null or empty text is its end id alone; null ids come first; equal ids are ordered by text; repeated
+Defined cases: a null or empty text is its end id alone; null ids come first; equal ids are ordered by a hash of the text; repeated
 rows each get their own span; an empty table gives no file and an empty result; further columns are not read.
 """
 
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import fresh_path, open_fs, ship
 from .pretoken import Encoder
@@ -130,7 +131,8 @@ def write(docs: DataFrame, tokenizer_file: str, path: str | None = None, end_id:
     fs, where = open_fs(path)
     fs.create_dir(where)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(id_col, text_col).repartitionByRange(n, id_col, text_col).sortWithinPartitions(id_col, text_col)
+    # The range's sample holds its keys, so the tie between equal ids is a hash, not the text.
+    ordered = docs.select(id_col, text_col, F.xxhash64(text_col).alias("tie")).repartitionByRange(n, id_col, "tie").sortWithinPartitions(id_col, "tie").select(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
