@@ -1,10 +1,10 @@
 """Token ids as Arrow files of equal-length sequences with masks.
 
 Each file of a data set is an Arrow IPC file whose record batches hold two fixed-size lists per row: ``tokens`` (of
-``LENGTH`` ids) and ``mask`` (0 padding, 1 token, 3 first token of a document). Batches have ``ROWS`` rows, so row i is
-in batch i // ROWS, and a memory-mapped file gives any sequence without a copy. Documents follow one another across
-sequences; only the end of a file is padded. Beside it lies a file of the documents: id, first token in the file,
-number of tokens. Files are numbered in ascending order of doc_id.
+``LENGTH`` ids) and ``mask`` (of LENGTH / 8 bytes, a bit per id, lowest first: 1 token, 0 padding). Batches have ``ROWS``
+rows, so row i is in batch i // ROWS, and a memory-mapped file gives any sequence and its mask without a copy. Documents
+follow one another across sequences; only the end of a file is padded. Beside it lies a file of the documents: id, first
+token in the file, number of tokens. Files are numbered in ascending order of doc_id.
 
 A task writes under a name of its own and moves the files into place when they are whole, so a task that is lost or run
 twice leaves nothing that is read.
@@ -49,7 +49,7 @@ class SequenceWriter:
     def __init__(self, base: str, id_type: pa.DataType, length: int = LENGTH, rows: int = ROWS, token_type: pa.DataType = pa.uint16()):
         self.fs, self.base = open_fs(base)
         self.length, self.rows, self.dtype = length, rows, token_type.to_pandas_dtype()
-        self.schema = pa.schema([("tokens", pa.list_(token_type, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("tokens", pa.list_(token_type, length)), ("mask", pa.list_(pa.uint8(), length // 8))])
         self.docs_schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.temp = f"{self.base}.{uuid.uuid4().hex}.tmp"
         self.sink = self.fs.open_output_stream(f"{self.temp}.seq")
@@ -57,38 +57,35 @@ class SequenceWriter:
         self.docs_sink = self.fs.open_output_stream(f"{self.temp}.docs")
         self.docs = pa.ipc.new_file(self.docs_sink, self.docs_schema)
         self.pending: list[np.ndarray] = []
-        self.marks: list[np.ndarray] = []
         self.held = self.total = self.n_docs = 0
 
     def add(self, ids: pa.Array, tokens: list[np.ndarray]) -> None:
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
         starts = self.total + np.cumsum(sizes) - sizes
         self.docs.write_batch(pa.record_batch([ids, pa.array(starts), pa.array(sizes)], schema=self.docs_schema))
-        mask = np.ones(int(sizes.sum()), np.uint8)
-        mask[starts - self.total] = 3
         self.pending.append(np.concatenate(tokens).astype(self.dtype))
-        self.marks.append(mask)
-        self.total += len(mask)
-        self.held += len(mask)
+        self.total += int(sizes.sum())
+        self.held += int(sizes.sum())
         self.n_docs += len(tokens)
         if self.held >= self.length * self.rows:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        tokens, mask = np.concatenate(self.pending or [np.zeros(0, self.dtype)]), np.concatenate(self.marks or [np.zeros(0, np.uint8)])
+        tokens = np.concatenate(self.pending or [np.zeros(0, self.dtype)])
         size = self.length * self.rows
         full = len(tokens) // size * size
         for k in range(0, full, size):
-            self._batch(tokens[k:k + size], mask[k:k + size])
-        tokens, mask = tokens[full:], mask[full:]
+            self._batch(tokens[k:k + size], size)
+        tokens = tokens[full:]
         if last and len(tokens):
-            pad = -len(tokens) % self.length
-            self._batch(np.pad(tokens, (0, pad)), np.pad(mask, (0, pad)))
-            tokens, mask = tokens[:0], mask[:0]
-        self.pending, self.marks, self.held = [tokens], [mask], len(tokens)
+            self._batch(np.pad(tokens, (0, -len(tokens) % self.length)), len(tokens))
+            tokens = tokens[:0]
+        self.pending, self.held = [tokens], len(tokens)
 
-    def _batch(self, tokens: np.ndarray, mask: np.ndarray) -> None:
-        self.out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (tokens, mask)], schema=self.schema))
+    def _batch(self, tokens: np.ndarray, used: int) -> None:
+        mask = np.packbits(np.arange(len(tokens)) < used, bitorder="little")
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(tokens), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length // 8)]
+        self.out.write_batch(pa.record_batch(columns, schema=self.schema))
 
     def close(self) -> None:
         self._flush(True)
@@ -110,16 +107,16 @@ class SequenceFile:
         self.rows = self.file.get_batch(0).num_rows if self.file.num_record_batches else 1
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens and mask of row i."""
+        """Tokens and mask bytes of row i."""
         batch, k = self.file.get_batch(i // self.rows), i % self.rows
-        return tuple(batch.column(c).flatten().to_numpy()[k * self.length:(k + 1) * self.length] for c in (0, 1))
+        return tuple(batch.column(c).flatten().to_numpy()[k * n:(k + 1) * n] for c, n in ((0, self.length), (1, self.length // 8)))
 
     def tokens(self) -> Iterator[np.ndarray]:
         """The tokens, without padding, a batch at a time."""
         for b in range(self.file.num_record_batches):
             batch = self.file.get_batch(b)
             tokens, mask = (batch.column(c).flatten().to_numpy() for c in (0, 1))
-            yield tokens if mask[-1] else tokens[:int(np.count_nonzero(mask))]
+            yield tokens if mask[-1] == 255 else tokens[:int(np.unpackbits(mask).sum())]
 
 
 def write(docs: DataFrame, tokenizer_file: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text",
