@@ -92,3 +92,11 @@ def test_bloom(spark):
     assert bloom.probe(keys.limit(500), "key", words, bits, hashes).filter("not maybe").count() == 0
     other = spark.range(2000).select(F.concat(F.lit("other"), "id").alias("key"))
     assert bloom.probe(other, "key", words, bits, hashes).filter("maybe").count() < 60
+
+
+def test_sql_functions(spark):
+    from loomsearch.operators.search import register_functions
+
+    register_functions(spark)
+    row = spark.sql("select evaluate('1+2*3') e, html_parse('<html lang=\"en\"><title>T</title>a b') h").first()
+    assert row.e == "7" and row.h.words == ["a", "b"] and row.h.title_words == ["T"] and row.h.is_english
