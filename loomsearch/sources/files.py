@@ -31,13 +31,13 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
 
 def word_totals(spark: SparkSession, path: str) -> DataFrame:
     """Words per file below a directory."""
-    files = spark.read.option("recursiveFileLookup", "true").text(path).select(F.input_file_name().alias("file"), T.word_count(F.col("value")).alias("n"))
+    files = spark.read.text(path, recursiveFileLookup=True).select(F.input_file_name().alias("file"), T.word_count(F.col("value")).alias("n"))
     return files.groupBy("file").agg(F.sum("n").cast("bigint").alias("n"))
 
 
 def html_files(spark: SparkSession, path: str) -> DataFrame:
     """path and the extracted columns of each HTML file."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return parse_pages(files.select(F.input_file_name().alias("path"), F.col("value").alias("html")))
 
 

@@ -18,6 +18,8 @@ from ..functions.html import parse_pages
 from ..operators.static_rank import static_rank
 
 CHUNKS = 5
+DOCS = "doc_idx bigint, url string, static_rank int, n_tokens int, chunk int"
+POSTINGS = "term string, field string, doc_idx bigint, positions array<int>, chunk int"
 
 
 @dataclass
@@ -75,13 +77,13 @@ def write(corpus: DataFrame, path: str) -> Index:
     """Write the three tables below ``path``, partitioned by chunk, and open them."""
     docs_of(corpus).write.partitionBy("chunk").parquet(f"{path}/docs")
     group_postings(occurrences(corpus)).sortWithinPartitions("chunk", "term", "field", "doc_idx").write.partitionBy("chunk").parquet(f"{path}/postings")
-    dictionary_of(corpus.sparkSession.read.parquet(f"{path}/postings")).write.parquet(f"{path}/dictionary")
+    dictionary_of(corpus.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")).write.parquet(f"{path}/dictionary")
     return load(corpus.sparkSession, path)
 
 
 def load(spark: SparkSession, path: str, chunks: list[int] | None = None) -> Index:
     """Open an index, or some of its chunks; chunks that don't exist are simply absent."""
-    docs, postings = (spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings"))
+    docs, postings = (spark.read.schema(schema).parquet(f"{path}/{t}") for t, schema in (("docs", DOCS), ("postings", POSTINGS)))
     if chunks is not None:
         docs, postings = (t.filter(F.col("chunk").isin(chunks)) for t in (docs, postings))
     return Index(docs, postings, spark.read.parquet(f"{path}/dictionary"))

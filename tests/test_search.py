@@ -125,12 +125,17 @@ def test_long_list(spark, tmp_path):
 
 
 def test_titles_share_positions(spark, tmp_path):
-    pages = spark.createDataFrame([(1, "https://a.org/", "<html lang=en><title>Red Fox</title><p>quick fox"), (2, "https://b.org/", "<html lang=fr><p>fox")], "page_id bigint, url string, html string")
+    pages = spark.createDataFrame([(1, "https://a.org/", "<html lang='en'><title>Red Fox</title><p>quick fox"), (2, "https://b.org/", "<html lang=fr><p>fox")], "page_id bigint, url string, html string")
     index = ix.write(ix.corpus_from_pages(pages), str(tmp_path / "i"))
     assert sorted((r.term, r.field, r.positions) for r in index.postings.collect()) == [("fox", "body", [4]), ("fox", "title", [2]), ("quick", "body", [3]), ("red", "title", [1])]
     assert [r.rank for r in search.search(index, "fox", title_weight=1).collect()][0] == [r.rank for r in search.search(index, "fox").collect()][0] + 1
 
 
+def test_empty_index(spark, tmp_path):
+    index = ix.write(ix.corpus_from_pages(spark.createDataFrame([], "page_id bigint, url string, html string")), str(tmp_path / "i"))
+    assert search.search(index, "fox", anchor="rarest").count() == 0 and index.dictionary.count() == 0
+
+
 def test_shards_and_summary(spark):
     rows = spark.createDataFrame([(1, 10, "u", 5), (0, 11, "u", 3), (1, 12, "v", 9)], "shard int, doc_idx bigint, url string, rank int")
     assert [(r.url, r["rank"]) for r in search.merge_shards(rows).collect()] == [("v", 9), ("u", 3)]
