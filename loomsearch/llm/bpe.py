@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import hold, ship
 from .pretoken import Encoder
 
 #: Longer words leave the recursive query for the loop.
@@ -170,14 +170,9 @@ class DuckBpe:
         return out
 
 
-_held: dict[str, DuckBpe] = {}
-
-
 def held(rank_file: str) -> DuckBpe:
     """This worker's encoder."""
-    if rank_file not in _held:
-        _held[rank_file] = DuckBpe(rank_file)
-    return _held[rank_file]
+    return hold(("bpe", rank_file), lambda: DuckBpe(rank_file))
 
 
 def encode_decode(docs: DataFrame, rank_file: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

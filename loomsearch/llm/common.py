@@ -64,6 +64,17 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{root}:{have}" if have else root
 
 
+_model: dict[object, object] = {}
+
+
+def hold(key: object, make):
+    """This worker's model ``key``. A worker keeps one at a time, as workers outlive the stages that need them."""
+    if key not in _model:
+        _model.clear()
+        _model[key] = make()
+    return _model[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

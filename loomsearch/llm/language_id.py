@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import hold, ship
 from .pretoken import groups
 
 UNKNOWN = "und"
@@ -184,8 +184,8 @@ class Model:
     def lower(self) -> np.ndarray:
         """Lower case of each code point, where it is one code point."""
         if Model._lower is None:
-            low = [chr(c).lower() for c in range(sys.maxunicode + 1)]
-            Model._lower = np.fromiter((ord(x) if len(x) == 1 else c for c, x in enumerate(low)), np.uint32, len(low))
+            single = lambda c, x: ord(x) if len(x) == 1 else c
+            Model._lower = np.fromiter((single(c, chr(c).lower()) for c in range(sys.maxunicode + 1)), np.uint32, sys.maxunicode + 1)
         return Model._lower
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -208,16 +208,9 @@ class Model:
         return out
 
 
-_held: dict[int, Model] = {}
-
-
 def held(passages: dict[str, list[str]]) -> Model:
     """This worker's model."""
-    key = hash(tuple((k, *v) for k, v in sorted(passages.items())))
-    if key not in _held:
-        _held.clear()
-        _held[key] = Model(passages)
-    return _held[key]
+    return hold(("language", *((k, *v) for k, v in sorted(passages.items()))), lambda: Model(passages))
 
 
 def predict(docs: DataFrame, passages: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

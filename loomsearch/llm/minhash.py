@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, ship
+from .common import cut, discard, hold, ship
 from .graph import components, skew_join
 from .runs import key_runs
 
@@ -46,21 +46,22 @@ _B = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64)
 _C = _rng.integers(0, 2**64, SHINGLE, np.uint64) | np.uint64(1)
 
 
+#: Words whose hash a worker keeps.
+KNOWN_WORDS = 300_000
+
+
 class _Words(dict):
     """Hash of each word seen."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_words = _Words()
-
-
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
@@ -70,7 +71,7 @@ def shingles(words: list[bytes]) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(hold("words", _Words).__getitem__, words), np.uint64, n)
     width = min(n, SHINGLE)
     s = np.zeros(n - width + 1, np.uint64)
     for k in range(width):

@@ -24,23 +24,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, open_fs, ship
+from .common import fresh_path, hold, open_fs, ship
 from .pretoken import Encoder
 
 LENGTH, ROWS = 2048, 64
 END_ID = 2
-_held: dict[str, Encoder] = {}
-
-
 def held(tokenizer_file: str) -> Encoder:
     """This worker's encoder: the library encodes each distinct piece of the tokenizer's own splitting once."""
-    if tokenizer_file not in _held:
+
+    def make() -> Encoder:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(tokenizer_file)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _held[tokenizer_file] = Encoder(lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)])
-    return _held[tokenizer_file]
+        return Encoder(lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)])
+
+    return hold(("tokens", tokenizer_file), make)
 
 
 class SequenceWriter:
