@@ -55,8 +55,14 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: Rows of an Arrow batch: texts can be long, and a task holds a few batches in both processes.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where it lies on a path that they share (a cluster without one uses --py-files)."""
+    """Let Python workers import this package where it lies on a path that they share (a cluster without one uses --py-files), and keep batches small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
