@@ -90,7 +90,7 @@ class DuckBpe:
         self._table("merges", merge_table(self.ranks))
         # Bytes as characters of the same number, which a string aggregate joins.
         self._table("vocabulary", pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())}))
-        self.encoder = Encoder(self.words)
+        self.encoder = Encoder(self.words, 500_000)
 
     def _do(self, sql: str) -> list[tuple]:
         return self.db.execute(sql).fetchall()
