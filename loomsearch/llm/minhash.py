@@ -1,7 +1,7 @@
 """MinHash near-dedup: banded minima find candidates, signatures and then full shingle sets confirm them, components follow.
 
 Words are separated by ASCII white space, with A-Z lower-cased; a document's set holds the 64-bit hashes of its distinct
-runs of five words (of all its words, if it has fewer). ``BANDS`` * ``ROWS`` universal hashes give a signature of minima.
+runs of five words (of all its words, if it has fewer). ``MINIMA`` universal hashes give a signature of minima.
 Documents with equal words form a class, and only one of each class, the one with the least doc_id, is compared.
 
 Candidates come in three rounds, so that no bucket of a band is expanded into all its pairs. First each bucket's documents
@@ -9,8 +9,9 @@ are paired with its least one, then, in buckets that still hold several componen
 most with the others'. Confirmed links are joined into components; a bucket whose documents lie in one component can add
 nothing. In the others, documents that are not in the bucket's largest component are compared with all the others in
 blocks of bounded size, and only pairs across components go on whose signatures agree and whose sizes and numbers of
-shingles that no other such document has allow the similarity at all. Links are confirmed on full sets. At a similarity of 0.85 the bands miss a pair with probability 8e-7, the signature
-test another 3e-6 (see tests); a pair that any band holds is lost only if its documents are joined by other links.
+shingles that no other such document has allow the similarity at all. Links are confirmed on full sets. The threshold is a parameter;
+``scheme`` cuts the signature into bands for it, so that a pair at the threshold is missed by the bands with probability 1e-6 at most, by the signature
+test with 1e-5 at most; a pair that any band holds is lost only if its documents are joined by other links.
 
 Defined cases: a null text, or one without words, has size 0 and links with nothing; a null doc_id links with nothing, its
 component is null and it is kept; rows that repeat a doc_id are one document if their words agree; an empty table gives
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +33,19 @@ from .common import cut, discard, hold, ship
 from .graph import components, skew_join
 from .runs import key_runs
 
-SHINGLE, PERCENT = 5, 85
-BANDS, ROWS = 24, 5
-#: Share of equal minima below which a pair is dropped: 4.6 standard deviations under the threshold.
-AGREE = 0.70
+SHINGLE, MINIMA = 5, 120
+#: Similarity of a link, in percent: of op10's contract, and where no contract sets one.
+PERCENT, KEEP_PERCENT = 85, 80
+#: Probabilities that the bands miss a pair at the threshold, and that the signature test drops it.
+BAND_MISS, TEST_MISS = 1e-6, 1e-5
 #: Documents per block in the later rounds, and pairs of one document that share a copy of its set.
 BLOCK, PER_SALT = 256, 256
 #: Ids up to which the documents whose sets are needed are broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_A = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
-_B = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64)
+_A = _rng.integers(0, 2**64, MINIMA, np.uint64) | np.uint64(1)
+_B = _rng.integers(0, 2**64, MINIMA, np.uint64)
 _C = _rng.integers(0, 2**64, SHINGLE, np.uint64) | np.uint64(1)
 
 
@@ -50,6 +53,17 @@ _C = _rng.integers(0, 2**64, SHINGLE, np.uint64) | np.uint64(1)
 KNOWN_WORDS = 300_000
 
 
+def scheme(percent: int) -> tuple[int, int]:
+    """For a threshold: the minima of a band, as many as BAND_MISS allows, and how many equal minima a pair needs."""
+    p = percent / 100
+    rows = max((r for r in range(1, MINIMA + 1) if MINIMA % r == 0 and (1 - p**r) ** (MINIMA // r) <= BAND_MISS), default=1)
+    need, below = 0, (1 - p) ** MINIMA
+    while below <= TEST_MISS and need < MINIMA:
+        need += 1
+        below += comb(MINIMA, need) * p**need * (1 - p) ** (MINIMA - need)
+    return rows, need
+
+
 class _Words(dict):
     """Hash of each word seen."""
 
@@ -89,18 +103,19 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band, of its minima and its number."""
-    x = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    for k in range(ROWS):
+def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit key per band of so many minima, of them and its number."""
+    x = sig.reshape(-1, rows).astype(np.uint64)
+    key = np.arange(len(x), dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    for k in range(rows):
         key = (key ^ x[:, k]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(32)
     return key.view(np.int64)
 
 
-def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, cls (of equal words), sig, bands."""
+    band_rows = scheme(percent)[0]
     ship(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -115,7 +130,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     sig = signature(s)
                     cls.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                     sigs.append(sig.tobytes())
-                    bands.append(band_keys(sig))
+                    bands.append(band_keys(sig, band_rows))
                 else:
                     cls.append(None)
                     sigs.append(None)
@@ -125,9 +140,9 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return base.mapInArrow(run, "doc_id bigint, n_shingles bigint, cls binary, sig binary, bands array<bigint>")
 
 
-def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose signatures agree well enough."""
-    need = int(np.ceil(AGREE * BANDS * ROWS))
+    need = scheme(percent)[1]
     total = pairs.count()
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     of_a = cut(many.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a"), "near-leaders")
@@ -135,7 +150,7 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for c in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, MINIMA) for c in (2, 3))
             ok = (x == y).sum(axis=1) >= need
             yield batch.select([0, 1]).filter(pa.array(ok))
 
@@ -154,7 +169,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFr
     return chosen.mapInArrow(run, "doc_id bigint, shingles array<bigint>").dropDuplicates(["doc_id"])
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _confirmed(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough. A copy of a's set serves PER_SALT pairs at most."""
     pairs = cut(pairs, "near-pairs")
     total = pairs.count()
@@ -167,7 +182,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) ->
     right = salted.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
     left = sets.join(many.select(F.col("a").alias("doc_id"), "salts"), "doc_id").select(F.col("doc_id").alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.col("shingles").alias("set_a"))
     both = right.join(left, ["a", "salt"]).withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
-    out = cut(both.filter(F.col("common") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("common")) * PERCENT).select("a", "b"), "near-links")
+    out = cut(both.filter(F.col("common") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("common")) * percent).select("a", "b"), "near-links")
     discard(pairs, ids, sets)
     return out
 
@@ -197,7 +212,7 @@ def _central(open_: DataFrame, sigs: DataFrame) -> DataFrame:
         keys, ids, score = [], [], []
         for batch, start, stop in key_runs(batches, 2):
             part = batch.slice(start, stop - start)
-            sig = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
+            sig = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint32).reshape(-1, MINIMA)
             agree = np.array([(sig == x).sum() for x in sig])
             best = int(agree.argmax())
             keys.append(part.column(0)[0].as_py())
@@ -224,10 +239,10 @@ def _shared_shingles(docs: DataFrame, open_: DataFrame, id_col: str, text_col: s
     return cut(sets.select("doc_id", F.size("shingles").alias("size")).join(own, "doc_id", "left").select("doc_id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared")), "near-shared")
 
 
-def _across(open_: DataFrame, sigs: DataFrame, shared: DataFrame) -> DataFrame:
+def _across(open_: DataFrame, sigs: DataFrame, shared: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of one open bucket whose components differ and which may be similar enough."""
-    # A link has at least PERCENT of each of its documents in common, so a document with too few shared shingles has none.
-    able = shared.filter(F.col("shared") * 100 >= F.col("size") * PERCENT).select("doc_id", F.col("size").alias("set_size"), "shared")
+    # A link has at least this percentage of each of its documents in common, so a document with too few shared shingles has none.
+    able = shared.filter(F.col("shared") * 100 >= F.col("size") * percent).select("doc_id", F.col("size").alias("set_size"), "shared")
     rows = open_.withColumn("lefts", F.ceil(F.col("size") / BLOCK).cast("bigint")).withColumn("rights", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("bigint"))
     rows = rows.drop("size").join(able.join(sigs, "doc_id"), "doc_id")
     block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
@@ -237,7 +252,7 @@ def _across(open_: DataFrame, sigs: DataFrame, shared: DataFrame) -> DataFrame:
     right = rows.filter("component <> bulk").select("key", upto("lefts").alias("i"), block("rights").alias("j"), F.lit(1).alias("side"), *more)
     n = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = left.unionByName(right).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    need = int(np.ceil(AGREE * BANDS * ROWS))
+    need = scheme(percent)[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, held = [], [], 0
@@ -246,11 +261,11 @@ def _across(open_: DataFrame, sigs: DataFrame, shared: DataFrame) -> DataFrame:
             if batch is not last:
                 last = batch
                 side, ids, comps, sizes, common = (batch.column(c).to_numpy() for c in (3, 4, 5, 6, 7))
-                sigs = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
+                sigs = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint32).reshape(-1, MINIMA)
             cut_at = start + int(np.count_nonzero(side[start:stop] == 0))
             for r in range(cut_at, stop):
                 most = np.minimum(common[start:cut_at], common[r])
-                hit = (comps[start:cut_at] != comps[r]) & (most * 100 >= (sizes[start:cut_at] + sizes[r] - most) * PERCENT)
+                hit = (comps[start:cut_at] != comps[r]) & (most * 100 >= (sizes[start:cut_at] + sizes[r] - most) * percent)
                 at = start + np.flatnonzero(hit)
                 at = at[(sigs[at] == sigs[r]).sum(axis=1) >= need]
                 if len(at):
@@ -266,9 +281,9 @@ def _across(open_: DataFrame, sigs: DataFrame, shared: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, a row per document."""
-    rows = cut(sketch(docs, id_col, text_col), "near-sketches")
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, a row per document; documents link from a similarity of ``percent`` on."""
+    rows = cut(sketch(docs, id_col, text_col, percent), "near-sketches")
     known = rows.filter("cls IS NOT NULL AND doc_id IS NOT NULL")
     classes = cut(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "near-classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "cls")
@@ -276,22 +291,22 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     sigs = chosen.select("doc_id", "sig")
     banded = chosen.select("doc_id", F.explode("bands").alias("key"))
     buckets = cut(banded.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-buckets")
-    members = cut(skew_join(banded, buckets.withColumn("size", F.col("n")), "key", chosen.count() * BANDS), "near-members")
+    members = cut(skew_join(banded, buckets.withColumn("size", F.col("n")), "key", chosen.count() * (MINIMA // scheme(percent)[0])), "near-members")
     first = cut(members.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "near-first")
-    links = _confirmed(docs, _agreeing(first, sigs), id_col, text_col)
+    links = _confirmed(docs, _agreeing(first, sigs, percent), id_col, text_col, percent)
     comp = cut(components(links), "near-components")
     wide = members.filter("size > 2").select("key", "doc_id")
     open_ = _mixed(wide, comp)
     if not open_.isEmpty():
         second = _central(open_, sigs)
-        more = _confirmed(docs, _agreeing(second.join(first, ["a", "b"], "left_anti"), sigs), id_col, text_col)
+        more = _confirmed(docs, _agreeing(second.join(first, ["a", "b"], "left_anti"), sigs, percent), id_col, text_col, percent)
         if not more.isEmpty():
             links = links.unionByName(more)
             comp = cut(components(links), "near-components")
             open_ = _mixed(open_.select("key", "doc_id"), comp)
-        third = _across(open_, sigs, _shared_shingles(docs, open_, id_col, text_col))
+        third = _across(open_, sigs, _shared_shingles(docs, open_, id_col, text_col), percent)
         done = first.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        late = _confirmed(docs, third.join(done, ["a", "b"], "left_anti"), id_col, text_col)
+        late = _confirmed(docs, third.join(done, ["a", "b"], "left_anti"), id_col, text_col, percent)
         if not late.isEmpty():
             comp = cut(components(links.unionByName(late)), "near-components")
     discard(members, first, buckets, chosen)
@@ -301,8 +316,8 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return found.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = KEEP_PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one document of each component."""
-    gone = cut(assign(docs).filter("not kept").select(F.col("doc_id").alias("__loom_id")).distinct(), "near-gone")
+    gone = cut(assign(docs, percent=percent).filter("not kept").select(F.col("doc_id").alias("__loom_id")).distinct(), "near-gone")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("__id"))
     return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("__id") == F.col("__loom_id"), "left_anti").select("row.*")
