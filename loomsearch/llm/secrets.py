@@ -3,8 +3,9 @@
 The guess cost of a value is the cheapest way to write it as a row of segments, in bits (log2 of the guesses that an
 attacker who knows the segment kinds needs): dictionary words (in any case, with digits for letters), dates, repeats of
 a short unit, walks over a keyboard or the alphabet, and brute-force spans. It is found by dynamic programming over the
-end of the last segment. ``correct`` words and ``qwerty123`` are cheap, random strings are not, so documentation
-placeholders are left alone. Values count if a word such as ``password``, ``pwd`` or ``passphrase`` precedes them.
+end of the last segment. Words are the few of ``WORDS``, then the words and word pieces of the byte-level vocabulary in its
+order, so prose, ``correct`` words and ``qwerty123`` are cheap and random strings are not, with or without digits. Only
+a value that is one template as a whole (``${NAME}``, ``{{name}}``, ``<name>``, ``%NAME%``) is left alone. Values count if a word such as ``password``, ``pwd`` or ``passphrase`` precedes them.
 
 Defined cases: a null or empty text has no spans; repeated rows each get their own result; a null doc_id is carried;
 an empty table gives an empty result; further columns are not read. Time and memory are linear in the text's length.
@@ -12,11 +13,13 @@ an empty table gives an empty result; further columns are not read. Time and mem
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
 from collections.abc import Iterator
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -40,8 +43,21 @@ default change changeme please enter your here value string token key auth servi
 correct horse battery staple summer winter spring autumn orange apple banana coffee company secure account email phone
 number name word pass code open close start stop this that with from have will should must never always none null true
 false undefined placeholder redacted hidden unknown required optional""".split()
-RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
-LONGEST = max(map(len, RANK))
+#: Letters of a word at most.
+LONGEST = 24
+
+
+def vocabulary() -> list[str]:
+    """Lower-cased words and pieces of words of the byte-level vocabulary, in the order of its merges."""
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        words = [base64.b64decode(line.split()[0]).strip().lower().decode("utf-8", "ignore") for line in f if line.strip()]
+    return [w for w in words if 3 <= len(w) <= LONGEST and w.isalpha()]
+
+
+RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *vocabulary()]))}
+#: A sign between words.
+JOINS, JOIN_BITS = frozenset("-_./"), 2.0
+TEMPLATE = re.compile(r"\$\{[^{}]*\}|\{\{[^{}]*\}\}|<[^<>]*>|%\w+%")
 LEET = str.maketrans("0134578@$!", "oleastbasi")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 NEXT = {(a, b): (n, 1) for n, row in enumerate(ROWS) for a, b in zip(row, row[1:], strict=False)} | {(b, a): (n, -1) for n, row in enumerate(ROWS) for a, b in zip(row, row[1:], strict=False)}
@@ -82,6 +98,8 @@ def guess_bits(value: str) -> float:
         bits = _char_bits(value[i - 1])
         brute[i] = min(brute[i - 1] if i > 1 else math.inf, best[i - 1] + SEGMENT_BITS) + bits
         cost = brute[i]
+        if value[i - 1] in JOINS:
+            cost = min(cost, best[i - 1] + SEGMENT_BITS + JOIN_BITS)
         for j in range(max(0, i - LONGEST), i - 2):
             rank = RANK.get(low[j:i]) or RANK.get(plain[j:i])
             if rank:
@@ -105,10 +123,8 @@ def guess_bits(value: str) -> float:
 
 
 def is_secret(value: str) -> bool:
-    """A digit and a letter, no template signs, and a high guess cost."""
-    if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)) or re.search(r"[{}<>$%]{1}[({A-Za-z_]|\*{3}|\.\.\.", value):
-        return False
-    return guess_bits(value) >= MIN_BITS
+    """A high guess cost, and not a template as a whole."""
+    return not TEMPLATE.fullmatch(value) and guess_bits(value) >= MIN_BITS
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:

@@ -4,11 +4,25 @@ import random
 import re
 
 import corpus_pipeline
-from loomsearch.llm import minhash
+from loomsearch.llm import minhash, secrets
 
 from .test_operators import by_id, docs
 
 
+# 1
+
+def guessed(text):
+    return [text[s:e] for k, s, e in secrets.scan(text)[1] if k == "guess"]
+
+
+def test_secret_needs_no_digit():
+    """The guess cost decides: values without a digit, or with signs of templates inside, count; prose and whole templates don't."""
+    for text, value in (("password: hG$kd9Lq2x", "hG$kd9Lq2x"), ("pwd=Kf7%Zq2mLp9w", "Kf7%Zq2mLp9w"), ("passphrase: kXqZvBnMwPlRtY", "kXqZvBnMwPlRtY")):
+        assert guessed(text) == [value]
+    for value in ("authentication", "necessarily", "uncharacteristically", "documentation.", "configuration", "${DB_PASSWORD_XQZ7}", "{{vault_zx7Kq2mLp9}}", "%APP_XQZ7KP2M%", "****************", "your_password_here"):
+        assert guessed(f"the password is {value}") == [], value
+
+
 # 10
 
 def brute_near_at(texts, percent):
