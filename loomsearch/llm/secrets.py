@@ -29,11 +29,12 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: What introduces a value of the method: a credential's name, then a sign or "is", then the value.
+#: What introduces a value of the method: a credential's name, also as the end of a longer one (DB_PWD), then a sign or "is";
+#: or the scheme of an Authorization header and a space; then the value.
 CONTEXT = re.compile(
-    r"""(?ai:\b(?:pass(?:word|wd|phrase|code)|pwd|secret(?:[_-]key)?|token|api_?key|credentials?|bearer|auth(?:orization)?|private[_-]?key|client_secret|pin))"""
-    r"""["']?\x20{0,8}(?::|=>?|\x20(?ai:is)\x20)\x20{0,8}["']?([^\s"'<>,;]{8,})""")
-HINTS = (b"pass", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"credential", b"bearer", b"auth", b"private", b"pin")
+    r"""(?<![A-Za-z0-9])(?:(?ai:pass(?:word|wd|phrase|code)|pwd|secret(?:[_-]key)?|token|api_?key|credentials?|bearer|auth(?:orization)?|private[_-]?key|client_secret|pin)"""
+    r"""["']?\x20{0,8}(?::|=>?|\x20(?ai:is)\x20)\x20{0,8}["']?|(?ai:bearer|basic)\x20{1,8}["']?)([^\s"'<>,;]{8,})""")
+HINTS = (b"pass", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"credential", b"bearer", b"basic", b"auth", b"private", b"pin")
 #: A value counts from this cost on, in bits.
 MIN_BITS = 40.0
 

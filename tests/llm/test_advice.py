@@ -23,6 +23,15 @@ def test_secret_needs_no_digit():
         assert guessed(f"the password is {value}") == [], value
 
 
+def test_secret_contexts():
+    """Names that end in a credential's name, and Authorization headers; a name within a word introduces nothing."""
+    for text in ("DB_PWD=x7Kp2mQ9vL", "DB_PASSWORD=x7Kp2mQ9vL", "my-pwd: x7Kp2mQ9vL", "a_token => x7Kp2mQ9vL", '"Authorization": "Basic x7Kp2mQ9vL"', "curl -H 'authorization: bearer  x7Kp2mQ9vL'", "my pwd is x7Kp2mQ9vL"):
+        assert guessed(text) == ["x7Kp2mQ9vL"], text
+    assert guessed("Authorization: Bearer x7Kp2mQ9vLtR4wZs") == ["x7Kp2mQ9vLtR4wZs"]
+    for text in ("spin: x7Kp2mQ9vL", "x9pwd=x7Kp2mQ9vL", "basic understanding", "the bearer necessarily"):
+        assert guessed(text) == [], text
+
+
 # 10
 
 def brute_near_at(texts, percent):
