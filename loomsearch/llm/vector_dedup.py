@@ -4,7 +4,8 @@ In each pass the vectors of a label are ordered by a row of random sign hashes (
 prefix brings vectors together) and each is compared with the ``WINDOW`` that follow, by cosine in double precision.
 Verified pairs are united across passes. The number of passes follows from the largest label's size, so that a pair at
 the threshold is found with probability ``RECALL``: of two vectors at 0.93, a hash agrees with probability 0.88, and
-log2(size / WINDOW) of them must.
+the first ``depth`` of them must. This holds however the vectors lie, as cells of vectors that agree in these hashes and
+are larger than the window are compared in full, block against block.
 
 Equal vectors are one class, compared once. A pass keeps of its verified pairs a spanning forest per task, and the
 links of a vector are then counted within its component, block against block, so large groups of near copies are
@@ -36,11 +37,19 @@ HASHES = 62
 BLOCK = 512
 
 
+def depth(largest: int) -> int:
+    """Leading hashes that would leave WINDOW vectors of the largest label in a cell, if each halved it."""
+    return max(0, math.ceil(math.log2(max(largest, 1) / WINDOW)))
+
+
 def passes(largest: int) -> int:
     """Passes for the largest label."""
     agree = 1 - math.acos(MIN_COSINE) / math.pi
-    hit = agree ** max(0.0, math.log2(max(largest, 1) / WINDOW))
-    return max(2, math.ceil(math.log(1 - RECALL) / math.log(1 - min(hit, 0.95))))
+    return max(2, math.ceil(math.log(1 - RECALL) / math.log(1 - min(agree ** depth(largest), 0.95))))
+
+
+def _planes(number: int, dim: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64([number, dim])).standard_normal((dim, HASHES))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -96,7 +105,7 @@ def _pass(classes: DataFrame, number: int) -> DataFrame:
             for dim in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == dim)
                 if dim not in planes:
-                    planes[dim] = np.random.Generator(np.random.PCG64([number, dim])).standard_normal((dim, HASHES))
+                    planes[dim] = _planes(number, dim)
                 bits = _unit(_matrix(batch.column(2).take(pa.array(at)))) @ planes[dim] > 0
                 code[at] = bits @ (1 << np.arange(HASHES - 1, -1, -1, dtype=np.int64))
             yield pa.record_batch({"group_id": batch.column(0), "code": code, "rep": batch.column(1), "embedding": batch.column(2)})
@@ -123,6 +132,72 @@ def _pass(classes: DataFrame, number: int) -> DataFrame:
     return ordered.repartitionByRange(n, "group_id", "code").sortWithinPartitions("group_id", "code", "rep").mapInArrow(compared, "a bigint, b bigint")
 
 
+def _forest(hit: np.ndarray) -> tuple[list[int], list[int]]:
+    """Rows and columns of a spanning forest of the bipartite graph ``hit``."""
+    rows, cols = np.zeros(hit.shape[0], bool), np.zeros(hit.shape[1], bool)
+    a, b = [], []
+    for start in np.flatnonzero(hit.any(axis=1)).tolist():
+        todo = [] if rows[start] else [start]
+        rows[start] = True
+        while todo:
+            r = todo.pop()
+            for c in np.flatnonzero(hit[r] & ~cols).tolist():
+                cols[c] = True
+                a.append(r)
+                b.append(c)
+                more = np.flatnonzero(hit[:, c] & ~rows).tolist()
+                rows[more] = True
+                a += more
+                b += [c] * len(more)
+                todo += more
+    return a, b
+
+
+def _crowded(classes: DataFrame, largest: int) -> DataFrame:
+    """Verified pairs (a, b) of all passes within cells that are larger than the window, a spanning forest per pair of blocks."""
+    bits, count = depth(largest), passes(largest)
+
+    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            lengths = batch.column(2).value_lengths().to_numpy()
+            for dim in np.unique(lengths).tolist():
+                at = pa.array(np.flatnonzero(lengths == dim))
+                unit = _unit(_matrix(batch.column(2).take(at)))
+                for number in range(count):
+                    if (number, dim) not in planes:
+                        planes[number, dim] = _planes(number, dim)[:, :bits]
+                    cell = (unit @ planes[number, dim] > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                    yield pa.record_batch({"pass": np.full(len(at), number), "group_id": batch.column(0).take(at), "cell": cell.astype(np.int64), "node": batch.column(1).take(at)})
+
+    cells = classes.select("group_id", "rep", "embedding").mapInArrow(celled, "pass bigint, group_id bigint, cell bigint, node bigint")
+    cells = cut(cells.select(F.xxhash64("pass", "group_id", "cell").alias("key"), "group_id", "node"), "vector-cells")
+    large = cut(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WINDOW).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("bigint")), "vector-crowded")
+    placed = skew_join(cells, large, "key", cells.count()).join(classes.select(F.col("rep").alias("node"), "group_id", "embedding"), ["node", "group_id"])
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    upto = lambda a, b: F.explode(F.sequence(a, b))
+    zero = F.lit(0).cast("bigint")
+    one = placed.select("key", block.alias("i"), upto(block, F.col("blocks") - 1).alias("j"), F.lit(0).alias("side"), "group_id", "node", "embedding")
+    two = placed.select("key", upto(zero, block).alias("i"), block.alias("j"), F.lit(1).alias("side"), "group_id", "node", "embedding")
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = one.unionByName(two).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "group_id", "node")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, start, stop in key_runs(batches, 3):
+            part = batch.slice(start, stop - start)
+            left = int(np.count_nonzero(part.column(3).to_numpy() == 0))
+            group, ids = part.column(4).to_numpy(), part.column(5).to_numpy()
+            if len(np.unique(part.column(6).value_lengths().to_numpy())) > 1:
+                raise ValueError("two cells with one hash")
+            unit = _unit(_matrix(part.column(6)))
+            hit = (unit[:left] @ unit[left:].T >= MIN_COSINE) & (group[:left, None] == group[None, left:]) & (ids[:left, None] != ids[None, left:])
+            a, b = _forest(hit)
+            if a:
+                yield pa.record_batch({"a": ids[:left][a], "b": ids[left:][b]})
+
+    return dealt.mapInArrow(compared, "a bigint, b bigint")
+
+
 def _linked(classes: DataFrame, comp: DataFrame) -> DataFrame:
     """(rep, others): vectors of other classes that each class links with."""
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
@@ -171,6 +246,8 @@ def assign(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     for number in range(passes(largest)):
         one = cut(_pass(classes, number), "vector-pairs")
         found = one if found is None else found.unionByName(one)
+    if depth(largest):
+        found = found.unionByName(cut(_crowded(classes, largest), "vector-pairs"))
     comp = cut(components(found), "vector-components")
     others = cut(_linked(classes, comp), "vector-links")
     summary = classes.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").join(others, "rep", "left")

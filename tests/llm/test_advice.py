@@ -3,8 +3,10 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline
-from loomsearch.llm import minhash, secrets
+from loomsearch.llm import minhash, secrets, vector_dedup
 
 from .test_operators import by_id, docs
 
@@ -32,6 +34,24 @@ def test_secret_contexts():
         assert guessed(text) == [], text
 
 
+# 5
+
+def test_vectors_dense_family(spark):
+    """A label with a shared mean direction and a dense family: single vectors that link with one member each all join."""
+    rng = np.random.default_rng(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    family = unit(unit(rng.standard_normal(64)) + unit(rng.standard_normal((1200, 64))) * 0.2)
+    away = rng.standard_normal((60, 64))
+    away = unit(away - (away * family[:60]).sum(axis=1, keepdims=True) * family[:60])
+    x = np.concatenate([family, 0.932 * family[:60] + np.sqrt(1 - 0.932**2) * away, unit(rng.standard_normal((800, 64)))]).astype(np.float32)
+    df = spark.createDataFrame([(k, v, 0) for k, v in enumerate(x.tolist())], "vec_id bigint, embedding array<float>, label int")
+    got = by_id(vector_dedup.assign(df), "vec_id")
+    y = unit(x.astype(float))
+    want = (y @ y.T >= 0.93).sum(axis=1) - 1
+    assert {got[k].component_id for k in range(1260)} == {0}
+    assert [got[k].n_links for k in range(len(x))] == want.tolist()
+
+
 # 10
 
 def brute_near_at(texts, percent):
