@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +18,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``, or (local tests only) a new temporary one."""
+    """The folder that every executor sees: ``spark.checkpoint.dir``, or (in local mode only) a new temporary one."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         found = tempfile.mkdtemp(prefix="loomsearch-")
         sc.setCheckpointDir(found)
     return found if "://" in found or found.startswith("file:") else f"file://{found}"
@@ -77,10 +83,50 @@ def hold(key: object, make):
     """This worker's model ``key``. A worker keeps one at a time, as workers outlive the stages that need them."""
     if key not in _model:
         _model.clear()
+        give_back()
         _model[key] = make()
     return _model[key]
 
 
+def _lean() -> None:
+    """Let this process return large freed arrays to the system at once: glibc keeps them in the heap otherwise, Arrow's own pool in its segments."""
+    try:
+        libc = ctypes.CDLL(None)
+        for option, value in ((-3, 4 << 20), (-1, 8 << 20), (-8, 1)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
+            libc.mallopt(option, value)
+        pa.set_memory_pool(pa.system_memory_pool())
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+_tuned: list[int] = []
+
+
+def give_back() -> None:
+    """Return what this process has freed to the system: a worker waits for its next task beside others and the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run):
+    """A function of a task's batches that gives freed memory back when the task ends."""
+
+    def tidied(batches):
+        if os.getpid() not in _tuned:
+            _lean()
+            _tuned[:] = [os.getpid()]
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
