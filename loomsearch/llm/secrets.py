@@ -1,14 +1,15 @@
 """Secret scan: three fixed patterns, and values in a credential's context whose guess cost is high.
 
 The guess cost of a value is the cheapest way to write it as a row of segments, in bits (log2 of the guesses that an
-attacker who knows the segment kinds needs): dictionary words (in any case, with digits for letters), dates, repeats of
-a short unit, walks over a keyboard or the alphabet, and brute-force spans. It is found by dynamic programming over the
-end of the last segment. Words are the few of ``WORDS``, then the words and word pieces of the byte-level vocabulary in its
+attacker who knows the segment kinds needs): dictionary words (in any case, with digits for letters), signs between words, dates, repeats of
+a short unit, walks over a keyboard or the alphabet, and brute-force spans. It is the minimum over all segmentations, found by dynamic programming over the
+end of the last segment; walks and repeats may start and end anywhere in a run. Words are the few of ``WORDS``, then the words and word pieces of the byte-level vocabulary in its
 order, so prose, ``correct`` words and ``qwerty123`` are cheap and random strings are not, with or without digits. Only
 a value that is one template as a whole (``${NAME}``, ``{{name}}``, ``<name>``, ``%NAME%``) is left alone. Values count if a word such as ``password``, ``pwd`` or ``passphrase`` precedes them.
 
 Defined cases: a null or empty text has no spans; repeated rows each get their own result; a null doc_id is carried;
-an empty table gives an empty result; further columns are not read. Time and memory are linear in the text's length.
+an empty table gives an empty result; further columns are not read. Memory is linear in the text's length, time too but
+for a value's longest run, whose length counts with its logarithm.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ import base64
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import ship, tidy
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -33,7 +36,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: or the scheme of an Authorization header and a space; then the value.
 CONTEXT = re.compile(
     r"""(?<![A-Za-z0-9])(?:(?ai:pass(?:word|wd|phrase|code)|pwd|secret(?:[_-]key)?|token|api_?key|credentials?|bearer|auth(?:orization)?|private[_-]?key|client_secret|pin)"""
-    r"""["']?\x20{0,8}(?::|=>?|\x20(?ai:is)\x20)\x20{0,8}["']?|(?ai:bearer|basic)\x20{1,8}["']?)([^\s"'<>,;]{8,})""")
+    r"""["']?(?:\x20*+(?::|=>?)|\x20++(?ai:is)\x20)\x20*+["']?|(?ai:bearer|basic)\x20++["']?)([^\s"'<>,;]{8,})""")
 HINTS = (b"pass", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"credential", b"bearer", b"basic", b"auth", b"private", b"pin")
 #: A value counts from this cost on, in bits.
 MIN_BITS = 40.0
@@ -68,6 +71,12 @@ for _x in zip("1234567890", "qwertyuiop", "asdfghjkl;", "zxcvbnm,./", strict=Tru
         NEXT |= {(_a, _b): (9, 1), (_b, _a): (9, -1)}
 DATE = re.compile(r"(?a)(?:(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
 SEGMENT_BITS = 1.0  # for where a segment ends
+DATE_BITS, YEAR_BITS = math.log2(365 * 130), math.log2(130)
+#: A walk: where it starts, and each change of its direction; letters at least.
+WALK_BITS, TURN_BITS, WALK_LEAST = math.log2(47), 2.0, 3
+#: A repeat: letters of its unit at most, letters of all at least.
+UNIT, REPEAT_LEAST = 4, 3
+_LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def _char_bits(c: str) -> float:
@@ -78,27 +87,74 @@ def _char_bits(c: str) -> float:
     return math.log2(33) if c.isascii() else math.log2(100)
 
 
+def word_bits(part: str) -> float:
+    """Of a dictionary word, else infinite."""
+    low = part.translate(_LOW)
+    rank = RANK.get(low) or RANK.get(low.translate(LEET))
+    return math.log2(rank + 1) + (part != low) * 2 + (low not in RANK) * 2 if rank and 3 <= len(part) <= LONGEST else math.inf
+
+
+def date_bits(part: str) -> float:
+    return math.inf if len(part) not in (4, 8, 10) or not DATE.fullmatch(part) else YEAR_BITS if len(part) == 4 else DATE_BITS
+
+
+def length_bits(letters: int) -> int:
+    """Of a walk or a repeat: which power of two its length reaches."""
+    return letters.bit_length() - 1
+
+
+class _Run:
+    """Least cost of starting a segment of at least ``least`` letters somewhere in the current run, with the bits of its length.
+
+    Starts of one length class form a window that slides along the run; each class keeps its minimum in a queue.
+    """
+
+    def __init__(self, least: int):
+        self.least = least
+        self.queues: list[deque[tuple[float, int]]] = []
+
+    def clear(self) -> None:
+        self.queues = []
+
+    def best(self, i: int, first: int, cost: Callable[[int], float]) -> float:
+        """The minimum over starts j from ``first`` to i - least of cost(j) and the length's bits; called for each i of the run, in order."""
+        if not self.queues and i - first >= self.least:
+            self.queues = [deque() for _ in range(length_bits(self.least))]
+        out = math.inf
+        if i - first < self.least:
+            return out
+        while length_bits(i - first) >= len(self.queues):
+            self.queues.append(deque())
+        for c in range(length_bits(self.least), len(self.queues)):
+            low = max(self.least, 1 << c)
+            queue, j = self.queues[c], i - low
+            if j >= first:
+                x = cost(j)
+                while queue and queue[-1][0] >= x:
+                    queue.pop()
+                queue.append((x, j))
+            while queue and i - queue[0][1] >= 2 << c:
+                queue.popleft()
+            if queue:
+                out = min(out, queue[0][0] + c)
+        return out
+
+
 def guess_bits(value: str) -> float:
-    """The cheapest segmentation's cost; linear in the length, as words, units and dates are short and walks and repeats are tracked."""
+    """The cheapest segmentation's cost."""
     n = len(value)
     if not n:
         return 0.0
-    low = value.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    low = value.translate(_LOW)
     plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
-    brute = [0.0] + [math.inf] * n  # cheapest whose last segment is a brute-force span
-    walk = 1  # letters of the keyboard walk that ends here
-    period = [0] * 5  # letters before here that repeat with period p
-    dates: dict[int, list[int]] = {}
-    for m in range(n):
-        if value[m] in "0123" and (found := DATE.match(value, m)) or value[m] in "12" and (found := DATE.match(value, m)):
-            dates.setdefault(found.end(), []).append(m)
-            if found.end() - m > 4:
-                dates.setdefault(m + 4, []).append(m) if value[m:m + 2] in ("19", "20") else None
+    brute = math.inf  # the cheapest whose last segment is a brute-force span
+    walk = 1  # letters of the walk that ends here
+    turns = [0] * (n + 1)  # changes of direction among the letters before here, in the current walk
+    walks, repeats, period = _Run(WALK_LEAST), [_Run(max(2 * p, REPEAT_LEAST)) for p in range(UNIT + 1)], [0] * (UNIT + 1)
     for i in range(1, n + 1):
-        bits = _char_bits(value[i - 1])
-        brute[i] = min(brute[i - 1] if i > 1 else math.inf, best[i - 1] + SEGMENT_BITS) + bits
-        cost = brute[i]
+        brute = min(brute, best[i - 1] + SEGMENT_BITS) + _char_bits(value[i - 1])
+        cost = brute
         if value[i - 1] in JOINS:
             cost = min(cost, best[i - 1] + SEGMENT_BITS + JOIN_BITS)
         for j in range(max(0, i - LONGEST), i - 2):
@@ -106,19 +162,29 @@ def guess_bits(value: str) -> float:
             if rank:
                 extra = (value[j:i] != low[j:i]) * 2 + (low[j:i] not in RANK) * 2
                 cost = min(cost, best[j] + SEGMENT_BITS + math.log2(rank + 1) + extra)
-        for j in dates.get(i, ()):
-            cost = min(cost, best[j] + SEGMENT_BITS + math.log2(365 * 130 if i - j > 4 else 130))
+        if "0" <= value[i - 1] <= "9":
+            for j in (i - 4, i - 8, i - 10):
+                if j >= 0 and "0" <= value[j] <= "3":
+                    cost = min(cost, best[j] + SEGMENT_BITS + date_bits(value[j:i]))
         if i > 1:
-            walk = walk + 1 if (low[i - 2], low[i - 1]) in NEXT else 1
-            if walk >= 3:
-                j = i - walk
-                turns = sum(NEXT[low[k], low[k + 1]] != NEXT[low[k + 1], low[k + 2]] for k in range(j, i - 2)) if walk <= 16 else walk // 2
-                cost = min(cost, best[j] + SEGMENT_BITS + math.log2(47) + math.log2(walk) + turns * 2)
-            for p in range(1, 5):
-                period[p] = period[p] + 1 if i > p and value[i - 1] == value[i - 1 - p] else 0
-                if period[p] >= max(p, 2):  # the unit and at least one more of it
-                    j = i - period[p] - p
-                    cost = min(cost, best[j] + SEGMENT_BITS + sum(_char_bits(c) for c in value[j:j + p]) + math.log2((period[p] + p) / p + 1))
+            step = NEXT.get((low[i - 2], low[i - 1]))
+            if step:
+                turn = walk > 1 and step != NEXT[low[i - 3], low[i - 2]]
+                walk, turns[i] = walk + 1, turns[i - 1] + turn
+                # From start j on, only changes behind its second letter count.
+                cost = min(cost, walks.best(i, i - walk, lambda j: best[j] - TURN_BITS * turns[j + 2]) + SEGMENT_BITS + WALK_BITS + TURN_BITS * turns[i])
+            else:
+                walk = 1
+                walks.clear()
+            for p in range(1, UNIT + 1):
+                if i > p and value[i - 1] == value[i - 1 - p]:
+                    period[p] += 1
+                    found = repeats[p].best(i, i - period[p] - p, best.__getitem__)
+                    if found < math.inf:  # any p letters of the run are its unit
+                        cost = min(cost, found + SEGMENT_BITS + sum(map(_char_bits, value[i - p:i])))
+                elif period[p]:
+                    period[p] = 0
+                    repeats[p].clear()
         best[i] = cost
     return best[n]
 
@@ -141,16 +207,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def guess_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Values in a credential's context with a high guess cost that no base span meets."""
+    """Values in a credential's context with a high guess cost that no base span meets. ``base`` ascends by start."""
     raw = text.encode("utf-8", "surrogatepass").lower()
     if not any(h in raw for h in HINTS):
         return []
+    starts, reach, most = [], [], 0
+    for _, s, e in base:
+        most = max(most, e)
+        starts.append(s)
+        reach.append(most)  # the furthest end of the spans so far
     out = []
     for m in CONTEXT.finditer(text):
         start, end = m.span(1)
         while end > start and text[end - 1] in ".:)]!?":
             end -= 1
-        if end - start >= 8 and not any(s < end and start < e for _, s, e in base) and is_secret(text[start:end]):
+        before = bisect_right(starts, end - 1)  # spans that start before the value ends
+        if end - start >= 8 and not (before and reach[before - 1] > start) and is_secret(text[start:end]):
             out.append(("guess", start, end))
     return out
 
@@ -178,7 +250,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [scan(t) for t in batch.column(1).to_pylist()]
             yield pa.record_batch({id_col: batch.column(0), "base": pa.array([named(b) for b, _ in found], struct), "spans": pa.array([named(s) for _, s in found], struct)})
 
-    return base.mapInArrow(run, f"`{id_col}` {base.schema[0].dataType.simpleString()}, base {kind}, spans {kind}")
+    return base.mapInArrow(tidy(run), f"`{id_col}` {base.schema[0].dataType.simpleString()}, base {kind}, spans {kind}")
 
 
 def sha256_hex(text: str) -> str:
