@@ -1,17 +1,21 @@
 """Language ID by cross-parsing entropy.
 
 Per language, a suffix automaton of labelled passages is built. A text is parsed greedily into the longest phrases that
-occur in the passages; the language that needs the fewest phrases per letter wins. The automaton is kept as a table
-(state, symbol) -> state whose sign tells that a phrase begins, so texts are parsed side by side in array steps: a text is
-cut into windows of ``WINDOW`` symbols, each parsed on its own, whole texts always.
+occur in the passages. A phrase costs the logarithm of the number of places that it can point to, so that a language
+with less training text isn't at a disadvantage; the language whose phrases cost least wins.
+
+The automaton is kept as a table (state, symbol) -> state whose sign tells that a phrase begins, so texts are parsed side
+by side in array steps. A text is cut into windows of ``WINDOW`` symbols for this, each parsed as if a phrase began with
+it; then the phrase that reaches over a window's border is followed until it begins a phrase where the window's own parse
+does, from where both agree. The count is that of one greedy parse of the whole text.
 
 Symbols are lower-cased letters that the training passages hold, one for any other letter, one for runs of the rest.
-Training takes a bounded sample: about ``SAMPLE_DOCS`` documents per language, chosen by a hash of the text, and of each
-one passage of at most ``PASSAGE`` characters at a place given by the hash; ``TRAIN_CHARS`` bounds all languages together.
-Only text and label are used, and only of rows that ``trainable`` selects.
+Training takes a bounded sample: about ``SAMPLE_DOCS`` distinct texts per language, chosen by a hash of the text, and of each
+one passage of at most ``PASSAGE`` characters at a place given by the hash; ``TRAIN_CHARS`` bounds all languages together, and
+the ``MAX_LANGS`` labels of the most rows (ties: code-point order) are learned. Only text and label are used, and only of rows that ``trainable`` selects.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without labelled rows every text is
-``und``; ties go to the language first in code-point order; repeated rows get equal results; a null label trains
+``und``; ties go to the language first in code-point order; repeated rows get equal results and count once in training; a null label trains
 nothing; an empty table gives an empty result; columns other than those named are not read.
 """
 
@@ -25,11 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, ship
+from .common import hold, ship, tidy
 from .pretoken import groups
 
 UNKNOWN = "und"
 SAMPLE_DOCS, PASSAGE, TRAIN_CHARS = 96, 400, 160_000
+MAX_LANGS = 200
+#: Characters of texts that are parsed side by side.
+CHARS = 250_000
 WINDOW = 256
 _letters: np.ndarray | None = None
 
@@ -50,24 +57,26 @@ def sample(docs: DataFrame, trainable: Column) -> dict[str, list[str]]:
     """Passages of each language, at most SAMPLE_DOCS * PASSAGE characters."""
     bits = 1 << 30
     rows = docs.filter(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").withColumn("h", F.xxhash64("text"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
-    if not counts:
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    if not counted:
         return {}
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 4 * SAMPLE_DOCS / n))).otherwise(share)
-    picked = rows.filter(F.pmod("h", F.lit(bits)) < share * bits)
+    # A map of at most MAX_LANGS entries; copies of a text have one hash, so the share is of distinct texts.
+    share = F.create_map(*(F.lit(x) for r in counted for x in (r.lang, min(1.0, 4 * SAMPLE_DOCS / r.texts))))
+    picked = rows.filter(F.coalesce(F.pmod("h", F.lit(bits)) < share[F.col("lang")] * bits, F.lit(False)))
     room = F.greatest(F.length("text") - PASSAGE, F.lit(0)) + 1
     passage = F.substring(F.col("text"), (F.pmod(F.shiftright("h", 7), room.cast("bigint")) + 1).cast("int"), F.lit(PASSAGE))
     found = picked.select("lang", "h", passage.alias("passage")).groupBy("lang", "h").agg(F.min("passage").alias("passage")).collect()
-    limit = TRAIN_CHARS // len(counts)
+    limit = TRAIN_CHARS // len(counted)
+    by_lang: dict[str, list] = {}
+    for r in sorted(found, key=lambda r: (r.lang, r.h)):
+        by_lang.setdefault(r.lang, []).append(r.passage)
     out: dict[str, list[str]] = {}
-    for lang in sorted(counts):
+    for lang, passages in by_lang.items():
         size = 0
-        for r in sorted((r for r in found if r.lang == lang), key=lambda r: r.h)[:SAMPLE_DOCS]:
-            if size < limit and any(c.isalpha() for c in r.passage):
-                out.setdefault(lang, []).append(r.passage[:limit - size])
-                size += len(r.passage)
+        for passage in passages[:SAMPLE_DOCS]:
+            if size < limit and any(c.isalpha() for c in passage):
+                out.setdefault(lang, []).append(passage[:limit - size])
+                size += len(passage)
     return out
 
 
@@ -82,7 +91,10 @@ class Model:
         self.symbols[[ord(c) for c in seen]] = np.arange(len(seen)) + 2
         self.pad = len(seen) + 2
         self.width = self.pad + 1
-        self.tables = [self._table([self.coded(t)[0] for t in passages[lang]]) for lang in self.langs]
+        coded = [[self.coded(t)[0] for t in passages[lang]] for lang in self.langs]
+        self.tables = [self._table(texts) for texts in coded]
+        #: Bits of a phrase: which place of the training text it points to.
+        self.bits = np.array([np.log2(2 + sum(map(len, texts))) for texts in coded])
 
     def coded(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of a text with runs of non-letters as one, and which places of the text they come from."""
@@ -168,17 +180,72 @@ class Model:
         grid[first[owner] + inside // WINDOW, inside % WINDOW] = s
         steps = np.ascontiguousarray(grid.T)
         out = np.zeros((len(texts), len(self.langs)), np.int64)
+        borders = np.flatnonzero(of[1:] == of[:-1]) + 1  # windows that continue the one before
         for k, table in enumerate(self.tables):
-            state = np.full(steps.shape[1], len(table) - self.width, np.int32)
-            begun = np.zeros(steps.shape[1], np.int32)
-            for x in steps:
+            start = len(table) - self.width
+            state = np.full(steps.shape[1], start, np.int32)
+            begins = np.zeros(steps.shape, bool)
+            for row, x in zip(begins, steps, strict=True):
                 to = table[state + x]
-                new = to < 0
-                begun += new
-                state = to + (new.astype(np.int32) << 30)
+                np.less(to, 0, out=row)
+                state = to + (row.astype(np.int32) << 30)
+            begun = begins.sum(axis=0, dtype=np.int64)
+            if len(borders):
+                self._stitch(table, grid, begins, state, begun, borders)
             out[:, k] = np.bincount(of, begun, len(texts))
         return out, alpha
 
+    def _stitch(self, table: np.ndarray, grid: np.ndarray, begins: np.ndarray, state: np.ndarray, begun: np.ndarray, borders: np.ndarray) -> None:
+        """Correct ``begun`` of the windows that continue another: follow the phrase at the border until the window's own parse begins one with it.
+
+        All borders first take a few steps side by side, from the end of the window before, which is right if that window's parse was met;
+        those that need more are followed one by one.
+        """
+        pad, big, steps = self.pad, 1 << 30, min(24, WINDOW)
+        at, change = state[borders - 1].copy(), np.zeros(len(borders), np.int64)
+        open_ = np.arange(len(borders))
+        for k in range(steps):
+            x = grid[borders[open_], k]
+            to = table[at[open_] + x]
+            new, own = to < 0, begins[k, borders[open_]]
+            change[open_] += new.astype(np.int64) - own
+            at[open_] = to + (new.astype(np.int32) << 30)
+            open_ = open_[~(new & own) & (x != pad)]
+            if not len(open_):
+                break
+        begun[borders] += change
+        go = memoryview(table)
+        late, redo = dict.fromkeys(borders[open_].tolist()), None
+        at_of, change_of = dict(zip(borders[open_].tolist(), at[open_].tolist(), strict=True)), dict(zip(borders.tolist(), change.tolist(), strict=True)) if len(open_) else {}
+        for w in sorted(late):
+            if redo is not None and w < redo:
+                continue  # followed already
+            here, k, lead = at_of[w], steps, 0
+            while True:
+                own = begins[k:, w].tolist()
+                met = False
+                for x, b in zip(grid[w, k:].tolist(), own, strict=True):
+                    if x == pad:
+                        met = True  # the text ends
+                        break
+                    to = go[here + x]
+                    lead -= b
+                    if to < 0:
+                        lead += 1
+                        to += big
+                        here = to
+                        if b:
+                            met = True
+                            break
+                    else:
+                        here = to
+                begun[w] += lead
+                redo = w + 1
+                if met or w + 1 not in change_of:
+                    break
+                # The next window was begun from a wrong place: again, from here.
+                w, k, lead = w + 1, 0, -change_of[w + 1]
+
     _lower: np.ndarray | None = None
 
     def lower(self) -> np.ndarray:
@@ -189,13 +256,14 @@ class Model:
         return Model._lower
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, score) of each text. Score: the share by which the best language's phrases are below the second's."""
-        out: list[tuple[str, float]] = []
+        """(language, score) of each text. Score: the share by which the best language's cost is below the second's."""
         if not self.langs:
             return [(UNKNOWN, 0.0)] * len(texts)
+        out: list[tuple[str, float]] = []
         whole = [t or "" for t in texts]
-        for a, b in groups(whole, 1_000_000):
-            cost, alpha = self.phrases(whole[a:b])
+        for a, b in groups(whole, CHARS):
+            phrases, alpha = self.phrases(whole[a:b])
+            cost = phrases * self.bits
             best = cost.argmin(axis=1)
             for i in range(b - a):
                 if not alpha[i]:
@@ -226,7 +294,7 @@ def predict(docs: DataFrame, passages: dict[str, list[str]], id_col: str = "doc_
                 "lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([x for _, x in found], pa.float64())})
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[1:])
-    return base.mapInArrow(run, f"{shape}, lang_pred string, score double")
+    return base.mapInArrow(tidy(run), f"{shape}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, passages: dict[str, list[str]]) -> DataFrame:
@@ -241,4 +309,4 @@ def keep_known(docs: DataFrame, passages: dict[str, list[str]]) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([x != UNKNOWN for x, _ in model.predict(batch.column(at).to_pylist())], pa.bool_()))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    return plain.mapInArrow(tidy(run), plain.schema).toDF(*names)
