@@ -13,17 +13,17 @@ HEAVY_KEYS = 10_000
 LEAST_HEAVY = 1_000
 
 
-def skew_join(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
-    """Inner join with ``keyed``, which has a row per key and the column ``n``, the key's number of rows in ``rows``.
+def skew_join(rows: DataFrame, keyed: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """Inner or left join with ``keyed``, which has a row per key and the column ``n``, the key's number of rows in ``rows``.
 
     The keys of the most rows, HEAVY_KEYS at most by counting, are broadcast, so that their rows stay where they are.
     """
     limit = max(LEAST_HEAVY, total // HEAVY_KEYS)
     heavy, light = keyed.filter(F.col("n") > limit).drop("n"), keyed.filter(F.col("n") <= limit).drop("n")
     if heavy.isEmpty():
-        return rows.join(light, key)
+        return rows.join(light, key, how)
     rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key, how))
 
 
 def _star(directed: DataFrame, keep_centre: bool) -> DataFrame:
