@@ -28,12 +28,11 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from .common import cut, fresh_path, open_fs, ship
+from .graph import skew_join
 
 MIN_BYTES = 0
 #: Rows of the table of repeated payloads up to which it is broadcast (some 60 bytes each).
 BROADCAST_ROWS = 200_000
-#: Otherwise, join keys that one payload's rows are dealt to.
-SALTS = 16
 RECORD = "page_id bigint, record_type string, target_uri string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6f1c9b1e-7d54-4f5e-9d0a-0c6f2f6f2a11")
@@ -214,13 +213,11 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("bigint"), "url", "html").withColumn("digest", F.unhex(F.sha1(payload)))
     many = rows.filter(F.octet_length(payload) >= min_bytes) if min_bytes else rows
-    groups = many.groupBy("digest").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "newest")
-    groups = cut(groups, "payload-groups")
+    groups = cut(many.groupBy("digest").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "payload-groups")
     if groups.count() <= BROADCAST_ROWS:
-        joined = rows.join(F.broadcast(groups), "digest", "left")
+        joined = rows.join(F.broadcast(groups.drop("n")), "digest", "left")
     else:
-        dealt = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(dealt, ["digest", "salt"], "left")
+        joined = skew_join(rows, groups, "digest", groups.agg(F.sum("n")).first()[0], "left")
     revisit = F.when(~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest"))
     return joined.select("page_id", "url", "html", revisit.alias("refers_to"))
 
@@ -237,3 +234,11 @@ def archive(pages: DataFrame, path: str | None = None) -> str:
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     register(spark)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+
+
+def checked(spark: SparkSession, path: str) -> DataFrame:
+    """The header columns of all records. Payloads of responses are read, and their length and digest taken from them; of revisits the
+    headers alone are, with everything else pushed down to the reader and skipped."""
+    columns = [c.split()[0] for c in RECORD.split(", ")][:-1]
+    responses = read(spark, path).filter("record_type = 'response'").select(*columns)
+    return responses.unionByName(read(spark, path, payload=False).filter("record_type = 'revisit'").select(*columns))
