@@ -1,7 +1,7 @@
 """Token ids as Arrow files of equal-length sequences with masks.
 
 Each file of a data set is an Arrow IPC file whose record batches hold two fixed-size lists per row: ``tokens`` (of
-``LENGTH`` ids) and ``mask`` (of LENGTH / 8 bytes, a bit per id, lowest first: 1 token, 0 padding). Batches have ``ROWS``
+``LENGTH`` ids, of 16 bits where the vocabulary allows it) and ``mask`` (of LENGTH / 8 bytes, a bit per id, lowest first: 1 token, 0 padding). Batches have ``ROWS``
 rows, so row i is in batch i // ROWS, and a memory-mapped file gives any sequence and its mask without a copy. Documents
 follow one another across sequences; only the end of a file is padded. Beside it lies a file of the documents: id, first
 token in the file, number of tokens. Files are numbered in ascending order of doc_id.
@@ -24,22 +24,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, hold, open_fs, ship
-from .pretoken import Encoder
+from .common import fresh_path, hold, open_fs, ship, tidy
+from .pretoken import Encoder, groups
 
 LENGTH, ROWS = 2048, 64
 END_ID = 2
-def held(tokenizer_file: str) -> Encoder:
-    """This worker's encoder: the library encodes each distinct piece of the tokenizer's own splitting once."""
+#: Characters of texts that are encoded at once.
+CHARS = 400_000
+
+
+class LibraryEncoder:
+    """The ids that the tokenizers library gives each text, with its own settings and without special tokens around it.
+
+    Where the file's tokenizer is byte-level without a normaliser, the library encodes each distinct piece of the texts
+    once; a text that holds the string of an added token, as ``<|endoftext|>``, and any text of another tokenizer is encoded by it whole.
+    """
+
+    def __init__(self, tokenizer_file: str):
+        import json
 
-    def make() -> Encoder:
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer_file)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        return Encoder(lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)])
+        self.library = Tokenizer.from_file(tokenizer_file)
+        with open(tokenizer_file, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = spec.get("pre_tokenizer") or {}
+        self.piecewise = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.pieces = Encoder(lambda words: [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)])
+        self.most = max(self.library.get_vocab(with_added_tokens=True).values())
 
-    return hold(("tokens", tokenizer_file), make)
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [not self.piecewise or any(a in t for a in self.added) for t in texts]
+        ids = iter(self.pieces([t for t, w in zip(texts, whole, strict=True) if not w]))
+        return [np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) if w else next(ids) for t, w in zip(texts, whole, strict=True)]
+
+
+def held(tokenizer_file: str) -> LibraryEncoder:
+    """This worker's encoder."""
+    return hold(("tokens", tokenizer_file), lambda: LibraryEncoder(tokenizer_file))
 
 
 class SequenceWriter:
@@ -136,14 +159,16 @@ def write(docs: DataFrame, tokenizer_file: str, path: str | None = None, end_id:
         base, writer = f"{path}/part-{TaskContext.get().partitionId():06d}", None
         encode = held(tokenizer_file)
         end = np.array([end_id], np.uint32)
-        for part in (batch.slice(k, 500) for batch in batches for k in range(0, batch.num_rows, 500)):
-            writer = writer or SequenceWriter(base, part.column(0).type, length, rows)
-            writer.add(part.column(0), [np.concatenate([x, end]) for x in encode([t or "" for t in part.column(1).to_pylist()])])
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            writer = writer or SequenceWriter(base, batch.column(0).type, length, rows, pa.uint16() if max(encode.most, end_id) < 1 << 16 else pa.uint32())
+            for a, b in groups(texts, CHARS):
+                writer.add(batch.column(0).slice(a, b - a), [np.concatenate([x, end]) for x in encode(texts[a:b])])
         if writer:
             writer.close()
             yield pa.record_batch({"file": pa.array([base]), "tokens": pa.array([writer.total]), "docs": pa.array([writer.n_docs])})
 
-    return sorted(tuple(r) for r in ordered.mapInArrow(run, "file string, tokens bigint, docs bigint").collect())  # one row per file
+    return sorted(tuple(r) for r in ordered.mapInArrow(tidy(run), "file string, tokens bigint, docs bigint").collect())  # one row per file
 
 
 def spans(spark: SparkSession, files: list[tuple[str, int, int]], id_type: str = "bigint") -> DataFrame:
@@ -160,7 +185,7 @@ def spans(spark: SparkSession, files: list[tuple[str, int, int]], id_type: str =
             for name, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 file = SequenceFile(name)
                 chunks, at = file.tokens(), 0
-                chunk = np.zeros(0, np.uint16)
+                chunk = np.zeros(0, np.uint32)
                 for b in range(file.docs.num_record_batches):
                     docs = file.docs.get_batch(b)
                     crcs = []
@@ -177,4 +202,4 @@ def spans(spark: SparkSession, files: list[tuple[str, int, int]], id_type: str =
                         crcs.append(crc)
                     yield pa.record_batch({"doc_id": docs.column(0), "start": pa.array(docs.column(1).to_numpy() + first), "n_tokens": docs.column(2), "ids_crc32": pa.array(crcs, pa.int64())})
 
-    return listed.mapInArrow(run, f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return listed.mapInArrow(tidy(run), f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
