@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, ship
+from .common import cut, discard, ship, tidy
 from .graph import components, skew_join
 from .runs import key_runs
 
@@ -34,7 +35,9 @@ MIN_COSINE = 0.93
 WINDOW, RECALL = 64, 0.9995
 HASHES = 62
 #: Vectors per block when links are counted.
-BLOCK = 512
+BLOCK = 128
+#: Crowded cells of a pass up to which their keys are broadcast (16 bytes each).
+BROADCAST_CELLS = 100_000
 
 
 def depth(largest: int) -> int:
@@ -94,21 +97,25 @@ def _compare(ids: np.ndarray, label: np.ndarray, unit: np.ndarray, fresh: int) -
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _pass(classes: DataFrame, number: int) -> DataFrame:
-    """Verified pairs (a, b) of one pass."""
+def _coded(unit: np.ndarray, number: int, dim: int, planes: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
+    """The code of each vector in a pass: its hashes as one number, the first one highest."""
+    if (number, dim) not in planes:
+        planes[number, dim] = _planes(number, dim)
+    return (unit @ planes[number, dim] > 0) @ (1 << np.arange(HASHES - 1, -1, -1, dtype=np.int64))
+
+
+def _pass(classes: DataFrame, number: int, bits: int, crowded: DataFrame) -> DataFrame:
+    """Verified pairs (a, b) of one pass. A task holds whole cells of equal leading ``bits``, so no window is cut off; crowded cells are left out."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             lengths = batch.column(2).value_lengths().to_numpy()
             code = np.zeros(batch.num_rows, np.int64)
             for dim in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == dim)
-                if dim not in planes:
-                    planes[dim] = _planes(number, dim)
-                bits = _unit(_matrix(batch.column(2).take(pa.array(at)))) @ planes[dim] > 0
-                code[at] = bits @ (1 << np.arange(HASHES - 1, -1, -1, dtype=np.int64))
-            yield pa.record_batch({"group_id": batch.column(0), "code": code, "rep": batch.column(1), "embedding": batch.column(2)})
+                code[at] = _coded(_unit(_matrix(batch.column(2).take(pa.array(at)))), number, dim, planes)
+            yield pa.record_batch({"group_id": batch.column(0), "cell": code >> (HASHES - bits), "code": code, "rep": batch.column(1), "embedding": batch.column(2)})
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: dict[str, np.ndarray] | None = None
@@ -128,8 +135,11 @@ def _pass(classes: DataFrame, number: int) -> DataFrame:
                 tail = {k: v[-WINDOW:] for k, v in now.items()}
 
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = classes.select("group_id", "rep", "embedding").mapInArrow(coded, f"group_id bigint, code bigint, rep bigint, embedding {classes.schema['embedding'].dataType.simpleString()}")
-    return ordered.repartitionByRange(n, "group_id", "code").sortWithinPartitions("group_id", "code", "rep").mapInArrow(compared, "a bigint, b bigint")
+    ordered = classes.select("group_id", "rep", "embedding").mapInArrow(coded, f"group_id bigint, cell bigint, code bigint, rep bigint, embedding {classes.schema['embedding'].dataType.simpleString()}")
+    left_out = crowded.filter(F.col("pass") == number).select("group_id", "cell")
+    ordered = ordered.join(F.broadcast(left_out) if left_out.count() <= BROADCAST_CELLS else left_out, ["group_id", "cell"], "left_anti").select("group_id", "cell", "code", "rep", "embedding")
+    sorted_ = ordered.repartition(n, "group_id", "cell").sortWithinPartitions("group_id", "code", "rep").select("group_id", "code", "rep", "embedding")
+    return sorted_.mapInArrow(tidy(compared), "a bigint, b bigint")
 
 
 def _forest(hit: np.ndarray) -> tuple[list[int], list[int]]:
@@ -153,9 +163,8 @@ def _forest(hit: np.ndarray) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def _crowded(classes: DataFrame, largest: int) -> DataFrame:
-    """Verified pairs (a, b) of all passes within cells that are larger than the window, a spanning forest per pair of blocks."""
-    bits, count = depth(largest), passes(largest)
+def _cells(classes: DataFrame, bits: int, count: int) -> tuple[DataFrame, DataFrame]:
+    """(cells, crowded): pass, group_id, cell, node, key of each vector in each pass; and the cells that hold more than WINDOW, with n and blocks."""
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -165,15 +174,19 @@ def _crowded(classes: DataFrame, largest: int) -> DataFrame:
                 at = pa.array(np.flatnonzero(lengths == dim))
                 unit = _unit(_matrix(batch.column(2).take(at)))
                 for number in range(count):
-                    if (number, dim) not in planes:
-                        planes[number, dim] = _planes(number, dim)[:, :bits]
-                    cell = (unit @ planes[number, dim] > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                    yield pa.record_batch({"pass": np.full(len(at), number), "group_id": batch.column(0).take(at), "cell": cell.astype(np.int64), "node": batch.column(1).take(at)})
-
-    cells = classes.select("group_id", "rep", "embedding").mapInArrow(celled, "pass bigint, group_id bigint, cell bigint, node bigint")
-    cells = cut(cells.select(F.xxhash64("pass", "group_id", "cell").alias("key"), "group_id", "node"), "vector-cells")
-    large = cut(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WINDOW).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("bigint")), "vector-crowded")
-    placed = skew_join(cells, large, "key", cells.count()).join(classes.select(F.col("rep").alias("node"), "group_id", "embedding"), ["node", "group_id"])
+                    cell = _coded(unit, number, dim, planes) >> (HASHES - bits)
+                    yield pa.record_batch({"pass": np.full(len(at), number), "group_id": batch.column(0).take(at), "cell": cell, "node": batch.column(1).take(at)})
+
+    cells = classes.select("group_id", "rep", "embedding").mapInArrow(tidy(celled), "pass bigint, group_id bigint, cell bigint, node bigint")
+    cells = cut(cells.withColumn("key", F.xxhash64("pass", "group_id", "cell")), "vector-cells")
+    crowded = cells.groupBy("key", "pass", "group_id", "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WINDOW)
+    return cells, cut(crowded.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("bigint")), "vector-crowded")
+
+
+def _crowded(classes: DataFrame, cells: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Verified pairs (a, b) of all passes within crowded cells, a spanning forest per pair of blocks."""
+    rows = cells.select("key", "group_id", "node")
+    placed = skew_join(rows, crowded.select("key", "n", "blocks"), "key", cells.count()).join(classes.select(F.col("rep").alias("node"), "group_id", "embedding"), ["node", "group_id"])
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     upto = lambda a, b: F.explode(F.sequence(a, b))
     zero = F.lit(0).cast("bigint")
@@ -195,7 +208,7 @@ def _crowded(classes: DataFrame, largest: int) -> DataFrame:
             if a:
                 yield pa.record_batch({"a": ids[:left][a], "b": ids[left:][b]})
 
-    return dealt.mapInArrow(compared, "a bigint, b bigint")
+    return dealt.mapInArrow(tidy(compared), "a bigint, b bigint")
 
 
 def _linked(classes: DataFrame, comp: DataFrame) -> DataFrame:
@@ -204,9 +217,10 @@ def _linked(classes: DataFrame, comp: DataFrame) -> DataFrame:
     sizes = cut(sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("bigint")), "vector-sizes")
     placed = skew_join(comp, sizes, "component", comp.count()).join(classes.select(F.col("rep").alias("node"), "embedding", "m"), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    upto = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    one = placed.select("component", block.alias("i"), upto.alias("j"), F.lit(0).alias("side"), "node", "m", "embedding")
-    two = placed.select("component", upto.alias("i"), block.alias("j"), F.lit(1).alias("side"), "node", "m", "embedding")
+    upto = lambda a, b: F.explode(F.sequence(a, b))
+    # Blocks i <= j meet once, and count for both.
+    one = placed.select("component", block.alias("i"), upto(block, F.col("blocks") - 1).alias("j"), F.lit(0).alias("side"), "node", "m", "embedding")
+    two = placed.filter("blocks > 1").select("component", upto(F.lit(0).cast("bigint"), block).alias("i"), block.alias("j"), F.lit(1).alias("side"), "node", "m", "embedding").filter("i < j")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = one.unionByName(two).repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "side")
 
@@ -217,18 +231,23 @@ def _linked(classes: DataFrame, comp: DataFrame) -> DataFrame:
             left = int(np.count_nonzero(part.column(3).to_numpy() == 0))
             ids, m = part.column(4).to_numpy(), part.column(5).to_numpy()
             unit = _unit(_matrix(part.column(6)))
-            hit = unit[:left] @ unit[left:].T >= MIN_COSINE
-            hit &= ids[:left, None] != ids[None, left:]
-            nodes.append(ids[:left])
-            links.append(hit @ m[left:])
-            held += left
+            if part.column(1)[0].as_py() == part.column(2)[0].as_py():
+                hit = unit @ unit.T >= MIN_COSINE
+                np.fill_diagonal(hit, False)
+                nodes.append(ids)
+                links.append(hit @ m)
+            else:
+                hit = unit[:left] @ unit[left:].T >= MIN_COSINE
+                nodes += [ids[:left], ids[left:]]
+                links += [hit @ m[left:], m[:left] @ hit]
+            held += stop - start
             if held > 20_000:
                 yield pa.record_batch({"rep": np.concatenate(nodes), "others": np.concatenate(links)})
                 nodes, links, held = [], [], 0
         if held:
             yield pa.record_batch({"rep": np.concatenate(nodes), "others": np.concatenate(links)})
 
-    return dealt.mapInArrow(counted, "rep bigint, others bigint").groupBy("rep").agg(F.sum("others").alias("others"))
+    return dealt.mapInArrow(tidy(counted), "rep bigint, others bigint").groupBy("rep").agg(F.sum("others").alias("others"))
 
 
 def assign(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -242,19 +261,21 @@ def assign(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     usable = v.filter("group_id IS NOT NULL").select("vec_id", "group_id", plain.alias("embedding"))
     classes = cut(usable.groupBy("group_id", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")), "vector-classes")
     largest = classes.groupBy("group_id").count().agg(F.max("count")).first()[0] or 0
-    found = None
-    for number in range(passes(largest)):
-        one = cut(_pass(classes, number), "vector-pairs")
-        found = one if found is None else found.unionByName(one)
-    if depth(largest):
-        found = found.unionByName(cut(_crowded(classes, largest), "vector-pairs"))
-    comp = cut(components(found), "vector-components")
+    bits, count = depth(largest), passes(largest)
+    cells, crowded = _cells(classes, bits, count)
+    pairs = [cut(_pass(classes, number, bits, crowded), "vector-pairs") for number in range(count)]
+    if not crowded.isEmpty():
+        pairs.append(cut(_crowded(classes, cells, crowded), "vector-pairs"))
+    discard(cells, crowded)
+    comp = cut(components(reduce(DataFrame.unionByName, pairs)), "vector-components")
     others = cut(_linked(classes, comp), "vector-links")
+    discard(*pairs)
     summary = classes.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").join(others, "rep", "left")
     summary = cut(summary.select("group_id", "embedding", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.col("m").alias("n")), "vector-summary")
     keyed = usable.withColumn("hash", F.xxhash64("group_id", "embedding"))
     cols = ["vec_id", "n_links", "component_id"]
     summary = summary.withColumn("hash", F.xxhash64("group_id", "embedding")).withColumnRenamed("embedding", "of").drop("group_id")
+    discard(classes, comp, others)
     out = skew_join(keyed.select("hash", "vec_id", "embedding"), summary, "hash", v.count()).filter(F.col("embedding") == F.col("of")).select(*cols)
     alone = v.filter("group_id IS NULL").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = out.unionByName(alone).select(*cols, F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
