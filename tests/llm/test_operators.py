@@ -185,7 +185,7 @@ ALPHABET = " '  stmdrevl  \n\t.!a1é日²' Ⅷ\u3000"
 def random_texts(n=120, seed=2):
     rng = random.Random(seed)
     texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 40))) for _ in range(n)]
-    return [*texts, "", "a" * 3000, " " * 3000, "日本語テキスト漢字" * 200, "Hello, world! <|endoftext|> it's we'll", "x\u0000y", "abc" * 40]
+    return [*texts, "", "a" * 3000, " " * 3000, "日本語テキスト漢字" * 200, "Hello, world! <|endoftext|> it's we'll", "x\u0000y", "abc" * 40, "two words " * 90_000]
 
 
 def test_split_like_regex():
@@ -220,8 +220,7 @@ def test_token_files(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(TOKENIZER_FILE)
-    library.encode_special_tokens = True
-    texts = [*random_texts(60), None]
+    texts = [*random_texts(60), None, "hi <|endoftext|> yo", "<|endoftext|>", "x<|endoftext|><|endoftext|>y <|endoftex", "one two three " * 60_000]
     files = token_files.write(docs(spark, texts), TOKENIZER_FILE, length=64, rows=4)
     got = by_id(token_files.spans(spark, files))
     start, stream = 0, []
@@ -379,13 +378,37 @@ def test_exact_batches(spark):
     assert index.table().count() == 3
     again = exact_dedup.keep_first(two, index)
     assert again.count() == 0
-    plan = index.fresh(exact_dedup.classes(exact_dedup.fold(two)))._jdf.queryExecution().toString()
-    assert "SortMergeJoin" in plan and plan.split("== Physical Plan ==")[1].count("Exchange") <= 2
+    groups = exact_dedup.cut(exact_dedup.classes(exact_dedup.fold(two)), "groups")
+    plan = index.fresh(groups)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1  # of the batch's digests; the index isn't shuffled
+    index.drop()
+    assert not index.exists()
+
+
+def test_exact_query_through_the_index(spark, monkeypatch, tmp_path):
+    """op9 works in two batches, the second one anti-joined, keeps nothing in the catalogue, and a hot text is never joined row by row."""
+    plans = []
+    fresh = exact_dedup.DigestIndex.fresh
+
+    def watched(self, groups):
+        out = fresh(self, groups)
+        plans.append(out._jdf.queryExecution().toString().split("== Physical Plan ==")[1])
+        return out
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "fresh", watched)
+    rows = docs(spark, ["hot"] * 300 + [f"t{k % 90}" for k in range(200)])
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    before = {t.name for t in spark.catalog.listTables()}
+    got = by_id(QUERIES["op9_exact_dedup"](spark, str(tmp_path)))
+    assert len(plans) == 1 and "LeftAnti" in plans[0] and "HashAggregate" not in plans[0]
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert len(got) == 500 and all((r.keep_id, r.group_size, r.kept) == (299, 300, k == 299) for k, r in got.items() if k < 300)
+    assert all(got[k].keep_id == max(m for m in range(300, 500) if (m - 300) % 90 == (k - 300) % 90) for k in range(300, 500))
 
 
 # 10
 
-def brute_near(texts):
+def brute_near(texts, percent=85):
     sets = []
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
@@ -400,7 +423,7 @@ def brute_near(texts):
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
             both = len(a & b)
-            if a and b and 100 * both >= 85 * (len(a) + len(b) - both):
+            if a and b and 100 * both >= percent * (len(a) + len(b) - both):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     return {k: (len(s), find(k)) for k, s in enumerate(sets)}
@@ -435,20 +458,43 @@ def test_near(spark):
 
 
 def test_near_later_rounds(spark):
-    """Documents of one bucket in several components are compared across them, and only they, unless their own shingles forbid a link."""
+    """Nodes of one bucket in several components are open, and each open bucket has a centre."""
     sig = lambda k, other=0: np.array([k] * 110 + [other] * 10, np.uint32).tobytes()
-    sigs = spark.createDataFrame([(k, bytearray(sig(k // 5, k))) for k in range(20)], "doc_id bigint, sig binary")
-    members = spark.createDataFrame([(7, k) for k in range(10)] + [(8, k) for k in range(10, 13)], "key bigint, doc_id bigint")
+    sigs = spark.createDataFrame([(k, bytearray(sig(k // 5, k))) for k in range(20)], "node bigint, sig binary")
+    members = spark.createDataFrame([(7, k) for k in range(10)] + [(8, k) for k in range(10, 13)], "key bigint, node bigint")
     comp = spark.createDataFrame([(k, 0) for k in range(4)] + [(10, 10), (11, 10), (12, 10)], "node bigint, component bigint")
     open_ = minhash._mixed(members, comp)
-    assert sorted({(r.key, r["size"], r.most, r.bulk) for r in open_.collect()}) == [(7, 10, 4, 0)]
-    shared = spark.createDataFrame([(k, 100, 80 if k == 9 else 100) for k in range(20)], "doc_id bigint, size int, shared int")
-    got = sorted(map(tuple, minhash._across(open_, sigs, shared).collect()))
-    assert got == sorted({(a, b) for a in range(9) for b in range(a + 1, 9) if a // 5 == b // 5 and not (a < 4 and b < 4)})
+    assert sorted({(r.key, r["size"]) for r in open_.collect()}) == [(7, 10)] and open_.count() == 10
     pairs = [tuple(r) for r in minhash._central(open_, sigs).collect()]
     assert len({a for a, _ in pairs}) == 1 and len(pairs) == 9
 
 
+def test_near_prefix_join(spark, monkeypatch):
+    """Every pair across components that is similar enough comes, whatever the sizes, the order of shingles and the blocks; a family of one size without links gives none."""
+    rng = random.Random(17)
+    sets = []
+    for _ in range(12):
+        base = rng.sample(range(100_000), rng.randint(1, 160))
+        for _ in range(rng.randint(1, 12)):
+            kept = [x for x in base if rng.random() > rng.choice((0.0, 0.03, 0.1, 0.2))]
+            sets.append(kept + rng.sample(range(100_000), rng.randint(0, len(base) // 8)) or [1])
+    comp = [rng.randrange(20) for _ in sets]
+    rows = spark.createDataFrame([(k, comp[k], sorted(set(s))) for k, s in enumerate(sets)], "node bigint, component bigint, shingles array<bigint>")
+    same = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    for percent in (80, 85):
+        want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if comp[i] != comp[j] and 100 * same(sets[i], sets[j]) >= percent}
+        for common, rare, block in ((100_000, 64, 256), (1000, 2, 3)):
+            monkeypatch.setattr(minhash, "COMMON", common)
+            monkeypatch.setattr(minhash, "RARE", rare)
+            monkeypatch.setattr(minhash, "BLOCK", block)
+            got = {tuple(r) for r in minhash._across(rows, percent).collect()}
+            assert want and want <= got
+    base = list(range(1000, 1100))
+    family = [(k, k, sorted(base[:3 * (k % 30)] + base[3 * (k % 30) + 5:] + [10**6 + 5 * k + i for i in range(5)])) for k in range(300)]
+    loose = minhash._across(spark.createDataFrame(family, "node bigint, component bigint, shingles array<bigint>"), 95)
+    assert loose.count() == 0
+
+
 def test_near_family(spark):
     """Copies of a text with one to eight edits: the text's component is found from its centre, heavy edits stay out."""
     rng = random.Random(3)
