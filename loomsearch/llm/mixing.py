@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, discard
+from .common import WORD, cut, discard, listed
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -174,8 +174,7 @@ def deal(drawn: DataFrame, shards: int | None = None, seed: str = SEED) -> DataF
             if n:
                 offsets.append((s, at[s], at[s] + n, j))
             at[s] += n
-    spark = drawn.sparkSession
-    bounds = spark.createDataFrame(offsets, "stratum int, low bigint, high bigint, shard int").groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("low", "shard"))).alias("cuts"))
+    bounds = listed(drawn.sparkSession, offsets, "stratum int, low bigint, high bigint, shard int").groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("low", "shard"))).alias("cuts"))
     upto = W.partitionBy("stratum").orderBy("bin")
     bins = bins.withColumn("first", F.sum("n").over(upto) - F.col("n")).select("stratum", "bin", "first")
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("stratum", "bin").orderBy("salt", "size", "doc_id", "copy_of", "epoch", "block")) - 1)

@@ -8,6 +8,7 @@ space before other characters the last one splits off; an apostrophe that stands
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable
 
@@ -17,7 +18,9 @@ import pyarrow as pa
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 _table: np.ndarray | None = None
 #: Characters handled at once, which bounds the arrays' memory.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 400_000
+#: A place where a piece always begins: a plain space between letters.
+_SAFE = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
 def _classes() -> np.ndarray:
@@ -94,39 +97,77 @@ def split(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
     return pieces, np.diff(edges)
 
 
+def portions(text: str, most: int = CHUNK_CHARS) -> list[str]:
+    """A text cut where a piece begins, into portions of about ``most`` characters (longer where there is no such place)."""
+    out, at = [], 0
+    while len(text) - at > most and (found := _SAFE.search(text, at + most)):
+        out.append(text[at:found.start()])
+        at = found.start()
+    return [*out, text[at:]]
+
+
 class Encoder:
-    """Token ids of many texts: distinct pieces are encoded once by ``encode_words`` and kept, up to ``limit`` of them."""
+    """Token ids of many texts: distinct pieces are encoded once by ``encode_words`` and kept; where they take ``limit`` bytes, the half in less use goes."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], limit: int = 1_000_000):
+    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], limit: int = 32_000_000):
         self.encode_words, self.limit = encode_words, limit
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.begin = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        ids = self.encode_words(words)
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        begin = len(self.flat) + np.cumsum(count) - count
+        self.count = np.zeros(0, np.int32)
+        self.used = np.zeros(0, np.int32)
+        self.held = 0
+
+    def _trim(self) -> None:
+        """Keep the half of the pieces that more groups of texts held, short ones at that, and count anew from half."""
+        order = np.argsort(-self.used, kind="stable")[:len(self.used) // 2]
+        names = list(self.known)
+        kept = [k for k in order.tolist() if len(names[k]) <= 64]
+        ids = [self.flat[self.begin[k]:self.begin[k] + self.count[k]] for k in kept]
+        used = self.used[kept] // 2
+        self._forget()
+        self._put([names[k] for k in kept], ids, used)
+
+    def _put(self, words: list[str], ids: list, used: np.ndarray) -> None:
+        count = np.fromiter(map(len, ids), np.int32, len(ids))
+        begin = len(self.flat) + np.cumsum(count, dtype=np.int64) - count
         self.flat = np.concatenate([self.flat, np.fromiter((x for w in ids for x in w), np.uint32, int(count.sum()))])
-        self.begin, self.count = np.concatenate([self.begin, begin]), np.concatenate([self.count, count])
+        self.begin, self.count, self.used = np.concatenate([self.begin, begin]), np.concatenate([self.count, count]), np.concatenate([self.used, used])
         for w in words:
             self.known[w] = len(self.known)
+        self.held += sum(map(len, words)) + 160 * len(words) + 4 * int(count.sum())
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        parts = [portions(t) for t in texts]
+        flat = self._encoded([p for some in parts for p in some])
+        if len(flat) == len(texts):
+            return flat
+        out, at = [], 0
+        for some in parts:
+            out.append(np.concatenate(flat[at:at + len(some)]) if len(some) > 1 else flat[at])
+            at += len(some)
+        return out
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as views of one array per group of texts."""
         out: list[np.ndarray] = []
         for a, b in groups(texts):
             pieces, per_text = split(texts[a:b])
             coded = pieces.dictionary_encode()
             words = coded.dictionary.to_pylist()
-            if len(self.known) > self.limit:
-                self.__init__(self.encode_words, self.limit)
+            if self.held > self.limit:
+                self._trim()
             if new := [w for w in words if w not in self.known]:
-                self._learn(new)
-            where = np.fromiter((self.known[w] for w in words), np.int64, len(words))[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+                self._put(new, self.encode_words(new), np.zeros(len(new), np.int32))
+            known = np.fromiter((self.known[w] for w in words), np.int64, len(words))
+            self.used[known] += 1
+            where = known[coded.indices.to_numpy()] if len(words) else known
             count = self.count[where]
-            total = np.concatenate([[0], np.cumsum(count)])
+            total = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
             source = np.repeat(self.begin[where] - total[:-1], count) + np.arange(total[-1])
             ids = self.flat[source]
             cuts = total[np.concatenate([[0], np.cumsum(per_text)])]

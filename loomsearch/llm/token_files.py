@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, hold, open_fs, ship, tidy
+from .common import fresh_path, hold, listed, open_fs, ship, tidy
 from .pretoken import Encoder, groups
 
 LENGTH, ROWS = 2048, 64
@@ -178,7 +178,7 @@ def spans(spark: SparkSession, files: list[tuple[str, int, int]], id_type: str =
     for name, tokens, _ in files:
         starts.append((name, at))
         at += tokens
-    listed = spark.createDataFrame(starts, "file string, first bigint").repartition(max(1, len(starts)))
+    files_of = listed(spark, starts, "file string, first bigint").repartition(max(1, len(starts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,4 +202,4 @@ def spans(spark: SparkSession, files: list[tuple[str, int, int]], id_type: str =
                         crcs.append(crc)
                     yield pa.record_batch({"doc_id": docs.column(0), "start": pa.array(docs.column(1).to_numpy() + first), "n_tokens": docs.column(2), "ids_crc32": pa.array(crcs, pa.int64())})
 
-    return listed.mapInArrow(tidy(run), f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files_of.mapInArrow(tidy(run), f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")

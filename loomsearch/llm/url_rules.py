@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import listed, ship, tidy
 
 DEFAULT_VERDICT = "allow"
 #: Keys sampled for the boundaries of the ranges, per range.
@@ -128,7 +128,7 @@ def apply_rules(pages: DataFrame, rules: Iterable[tuple[str, str, str]], id_col:
         low, high = interval(host.translate(_LOWER))
         for b in range(bisect.bisect_right(bounds, low), bisect.bisect_left(bounds, high) + 1):
             starts.append((b, 0, low, high, path, f"{host}{path}", verdict, None, None))
-    both = base.mapInArrow(dealt, shape).unionByName(spark.createDataFrame(starts, shape))
+    both = base.mapInArrow(tidy(dealt), shape).unionByName(listed(spark, starts, shape))
     ordered = both.repartition(n, "bucket").sortWithinPartitions("bucket", "key", "kind", "path")
 
     def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,4 +149,4 @@ def apply_rules(pages: DataFrame, rules: Iterable[tuple[str, str, str]], id_col:
             own = batch.take(pa.array(pick, pa.int64()))
             yield pa.record_batch({"id": own.column("id"), "host": own.column("host"), "path": own.column("path"), "rule": pa.array(rule, pa.string()), "verdict": pa.array(verdict, pa.string())})
 
-    return ordered.mapInArrow(swept, f"id {id_type}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
+    return ordered.mapInArrow(tidy(swept), f"id {id_type}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
