@@ -31,11 +31,11 @@ from .pretoken import Encoder, groups
 #: Bytes of a window of a longer word, and from one window's start to the next one's.
 WINDOW, STRIDE = 64, 32
 #: Rows that a recursive query makes over all its steps, and tokens per decoding query, which bound its memory.
-ROWS_PER_QUERY, TOKENS_PER_QUERY = 600_000, 60_000
-#: Bound of DuckDB's memory in a worker (a query of so many rows takes some 60 MB), and while it codes a run that windows can't be joined in.
+ROWS_PER_QUERY, TOKENS_PER_QUERY = 1_000_000, 100_000
+#: Bound of DuckDB's memory in a worker (a query of so many rows takes some 100 MB), and while it codes a run that windows can't be joined in.
 MEMORY, MEMORY_RUNS = "256MB", "1GB"
 #: Characters of texts that are encoded and decoded at once.
-CHARS = 400_000
+CHARS = 800_000
 
 #: One step of the loop over words(w, pos, tok): all occurrences of the least pair. Positions of a word count from 1 without gaps.
 STEP = """

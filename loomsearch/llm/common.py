@@ -105,7 +105,7 @@ def _lean() -> None:
     """Let this process return large freed arrays to the system at once: glibc keeps them in the heap otherwise, Arrow's own pool in its segments."""
     try:
         libc = ctypes.CDLL(None)
-        for option, value in ((-3, 4 << 20), (-1, 8 << 20), (-8, 1)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
+        for option, value in ((-3, 16 << 20), (-1, 32 << 20)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
             libc.mallopt(option, value)
         pa.set_memory_pool(pa.system_memory_pool())
     except (AttributeError, OSError):  # not glibc

@@ -11,14 +11,16 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 _table: np.ndarray | None = None
 #: Characters handled at once, which bounds the arrays' memory.
-CHUNK_CHARS = 400_000
+CHUNK_CHARS = 800_000
 #: A place where a piece always begins: a plain space between letters.
 _SAFE = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 
@@ -106,43 +108,52 @@ def portions(text: str, most: int = CHUNK_CHARS) -> list[str]:
     return [*out, text[at:]]
 
 
-class Encoder:
-    """Token ids of many texts: distinct pieces are encoded once by ``encode_words`` and kept; where they take ``limit`` bytes, the half in less use goes."""
-
-    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], limit: int = 32_000_000):
-        self.encode_words, self.limit = encode_words, limit
-        self._forget()
+class _Known:
+    """Ids of pieces by a 128-bit hash of each, in arrays: a few dozen bytes a piece, where a dictionary takes some 200. Two levels, so that adding doesn't sort all."""
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+    def __init__(self):
         self.flat = np.zeros(0, np.uint32)
-        self.begin = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int32)
-        self.used = np.zeros(0, np.int32)
-        self.held = 0
-
-    def _trim(self) -> None:
-        """Keep the half of the pieces that more groups of texts held, short ones at that, and count anew from half."""
-        order = np.argsort(-self.used, kind="stable")[:len(self.used) // 2]
-        names = list(self.known)
-        kept = [k for k in order.tolist() if len(names[k]) <= 64]
-        ids = [self.flat[self.begin[k]:self.begin[k] + self.count[k]] for k in kept]
-        used = self.used[kept] // 2
-        self._forget()
-        self._put([names[k] for k in kept], ids, used)
-
-    def _put(self, words: list[str], ids: list, used: np.ndarray) -> None:
+        self.levels = [self._level(np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)) for _ in range(2)]
+
+    @staticmethod
+    def _level(keys: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(keys[:, 0], kind="stable")
+        return keys[order, 0], keys[order, 1], begin[order], count[order]
+
+    @property
+    def bytes(self) -> int:
+        return 4 * len(self.flat) + 28 * sum(len(level[0]) for level in self.levels)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each key begin in ``flat``, and how many; -1 if it isn't known."""
+        begin, count = np.full(len(keys), -1, np.int64), np.full(len(keys), -1, np.int32)
+        for first, second, at, n in self.levels:
+            if len(first):
+                k = np.minimum(np.searchsorted(first, keys[:, 0]), len(first) - 1)
+                hit = (first[k] == keys[:, 0]) & (second[k] == keys[:, 1])
+                begin[hit], count[hit] = at[k[hit]], n[k[hit]]
+        return begin, count
+
+    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
         count = np.fromiter(map(len, ids), np.int32, len(ids))
         begin = len(self.flat) + np.cumsum(count, dtype=np.int64) - count
-        self.flat = np.concatenate([self.flat, np.fromiter((x for w in ids for x in w), np.uint32, int(count.sum()))])
-        self.begin, self.count, self.used = np.concatenate([self.begin, begin]), np.concatenate([self.count, count]), np.concatenate([self.used, used])
-        for w in words:
-            self.known[w] = len(self.known)
-        self.held += sum(map(len, words)) + 160 * len(words) + 4 * int(count.sum())
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))])
+        joined = lambda level, x: self._level(np.concatenate([np.stack(level[:2], 1), x[0]]), np.concatenate([level[2], x[1]]), np.concatenate([level[3], x[2]]))
+        large, small = self.levels[0], joined(self.levels[1], (keys, begin, count))
+        if len(small[0]) > 20_000 + len(large[0]) // 8:
+            large, small = joined(large, (np.stack(small[:2], 1), *small[2:])), self._level(np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.levels = [large, small]
+
+
+class Encoder:
+    """Token ids of many texts: distinct pieces are encoded once by ``encode_words`` and kept until they take ``limit`` bytes, then all anew."""
+
+    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], limit: int = 32_000_000, chars: int = CHUNK_CHARS):
+        self.encode_words, self.limit, self.chars, self.known = encode_words, limit, chars, _Known()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        parts = [portions(t) for t in texts]
+        parts = [portions(t, self.chars) for t in texts]
         flat = self._encoded([p for some in parts for p in some])
         if len(flat) == len(texts):
             return flat
@@ -155,21 +166,23 @@ class Encoder:
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as views of one array per group of texts."""
         out: list[np.ndarray] = []
-        for a, b in groups(texts):
+        for a, b in groups(texts, self.chars):
             pieces, per_text = split(texts[a:b])
             coded = pieces.dictionary_encode()
             words = coded.dictionary.to_pylist()
-            if self.held > self.limit:
-                self._trim()
-            if new := [w for w in words if w not in self.known]:
-                self._put(new, self.encode_words(new), np.zeros(len(new), np.int32))
-            known = np.fromiter((self.known[w] for w in words), np.int64, len(words))
-            self.used[known] += 1
-            where = known[coded.indices.to_numpy()] if len(words) else known
-            count = self.count[where]
+            digest = xxhash.xxh3_128_digest
+            keys = np.frombuffer(b"".join([digest(w.encode("utf-8", "surrogatepass")) for w in words]), np.uint64).reshape(-1, 2)
+            if self.known.bytes > self.limit:
+                self.known = _Known()
+            begin, count = self.known.find(keys)
+            if len(new := np.flatnonzero(count < 0)):
+                self.known.add(keys[new], self.encode_words([words[k] for k in new.tolist()]))
+                begin, count = self.known.find(keys)
+            where = coded.indices.to_numpy()
+            begin, count = begin[where], count[where]
             total = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
-            source = np.repeat(self.begin[where] - total[:-1], count) + np.arange(total[-1])
-            ids = self.flat[source]
+            source = np.repeat(begin - total[:-1], count) + np.arange(total[-1])
+            ids = self.known.flat[source]
             cuts = total[np.concatenate([[0], np.cumsum(per_text)])]
             out += [ids[cuts[k]:cuts[k + 1]] for k in range(b - a)]
         return out

@@ -15,6 +15,7 @@ rows each get their own span; an empty table gives no file and an empty result;
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from .pretoken import Encoder, groups
 LENGTH, ROWS = 2048, 64
 END_ID = 2
 #: Characters of texts that are encoded at once.
-CHARS = 400_000
+CHARS = 1_600_000
 
 
 class LibraryEncoder:
@@ -43,6 +44,7 @@ class LibraryEncoder:
     def __init__(self, tokenizer_file: str):
         import json
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_file)
@@ -51,7 +53,7 @@ class LibraryEncoder:
         split = spec.get("pre_tokenizer") or {}
         self.piecewise = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces = Encoder(lambda words: [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)])
+        self.pieces = Encoder(lambda words: [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)], chars=CHARS)
         self.most = max(self.library.get_vocab(with_added_tokens=True).values())
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
