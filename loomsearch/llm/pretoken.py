@@ -108,7 +108,7 @@ def portions(text: str, most: int = CHUNK_CHARS) -> list[str]:
     return [*out, text[at:]]
 
 
-class _Known:
+class HashedPieces:
     """Ids of pieces by a 128-bit hash of each, in arrays: a few dozen bytes a piece, where a dictionary takes some 200. Two levels, so that adding doesn't sort all."""
 
     def __init__(self):
@@ -124,6 +124,11 @@ class _Known:
     def bytes(self) -> int:
         return 4 * len(self.flat) + 28 * sum(len(level[0]) for level in self.levels)
 
+    @staticmethod
+    def keys(words: list[str]) -> np.ndarray:
+        digest = xxhash.xxh3_128_digest
+        return np.frombuffer(b"".join([digest(w.encode("utf-8", "surrogatepass")) for w in words]), np.uint64).reshape(-1, 2)
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each key begin in ``flat``, and how many; -1 if it isn't known."""
         begin, count = np.full(len(keys), -1, np.int64), np.full(len(keys), -1, np.int32)
@@ -145,11 +150,41 @@ class _Known:
         self.levels = [large, small]
 
 
+class NamedPieces:
+    """The same by the pieces themselves, in a dictionary: quicker, for where memory allows it."""
+
+    def __init__(self):
+        self.flat = np.zeros(0, np.uint32)
+        self.at: dict[str, int] = {}
+        self.begin, self.count = np.full(1, -1, np.int64), np.full(1, -1, np.int32)
+
+    @property
+    def bytes(self) -> int:
+        return 4 * len(self.flat) + 180 * len(self.at)
+
+    @staticmethod
+    def keys(words: list[str]) -> np.ndarray:
+        out = np.empty(len(words), object)
+        out[:] = words
+        return out
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        where = np.fromiter((self.at.get(w, 0) for w in keys), np.int64, len(keys))
+        return self.begin[where], self.count[where]
+
+    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        count = np.fromiter(map(len, ids), np.int32, len(ids))
+        begin = len(self.flat) + np.cumsum(count, dtype=np.int64) - count
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))])
+        self.at.update(zip(keys, range(len(self.begin), len(self.begin) + len(ids)), strict=True))
+        self.begin, self.count = np.concatenate([self.begin, begin]), np.concatenate([self.count, count])
+
+
 class Encoder:
     """Token ids of many texts: distinct pieces are encoded once by ``encode_words`` and kept until they take ``limit`` bytes, then all anew."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], limit: int = 32_000_000, chars: int = CHUNK_CHARS):
-        self.encode_words, self.limit, self.chars, self.known = encode_words, limit, chars, _Known()
+    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], limit: int = 32_000_000, chars: int = CHUNK_CHARS, pieces: type = HashedPieces):
+        self.encode_words, self.limit, self.chars, self.pieces, self.known = encode_words, limit, chars, pieces, pieces()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -170,10 +205,9 @@ class Encoder:
             pieces, per_text = split(texts[a:b])
             coded = pieces.dictionary_encode()
             words = coded.dictionary.to_pylist()
-            digest = xxhash.xxh3_128_digest
-            keys = np.frombuffer(b"".join([digest(w.encode("utf-8", "surrogatepass")) for w in words]), np.uint64).reshape(-1, 2)
+            keys = self.known.keys(words)
             if self.known.bytes > self.limit:
-                self.known = _Known()
+                self.known = self.pieces()
             begin, count = self.known.find(keys)
             if len(new := np.flatnonzero(count < 0)):
                 self.known.add(keys[new], self.encode_words([words[k] for k in new.tolist()]))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, hold, listed, open_fs, ship, tidy
-from .pretoken import Encoder, groups
+from .pretoken import Encoder, NamedPieces, groups
 
 LENGTH, ROWS = 2048, 64
 END_ID = 2
@@ -53,7 +53,7 @@ class LibraryEncoder:
         split = spec.get("pre_tokenizer") or {}
         self.piecewise = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces = Encoder(lambda words: [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)], chars=CHARS)
+        self.pieces = Encoder(lambda words: [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)], 128_000_000, CHARS, NamedPieces)
         self.most = max(self.library.get_vocab(with_added_tokens=True).values())
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
