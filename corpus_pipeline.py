@@ -3,6 +3,11 @@
 Each stage is written as Parquet and read again by the next one. Documents without a known language go; of equal texts
 the largest doc_id stays; of each group of near copies the smallest; the mix then repeats or drops whole documents by
 their source's target; the last stage returns the token ids, with a check that they decode to the text.
+
+Defined cases: a null or empty text, or one without a letter, has no known language and goes in the first stage, so an empty table, or one
+without labels, gives an empty result; of rows that repeat a doc_id and a text one stays, rows that repeat a doc_id with other texts are documents of their own; a null
+doc_id is kept, as the least; ties between languages go to the first in code-point order; texts of any length are read whole;
+further columns of ``documents`` are carried through the first four stages, whatever their names.
 """
 
 from __future__ import annotations

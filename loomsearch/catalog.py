@@ -27,7 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 _opened: dict[tuple[str, str], ix.Index] = {}
 
-TWO, NOT, OR, PHRASE, NESTED, ONE = "thtion thing", "thtion NOT thing", "thtion OR thing", '"of the"', "(thtion OR thing) AND thest NOT whing", "thtion"
+TWO, NOT, OR, PHRASE, NESTED, ONE = "thtion thing", "thtion NOT thing", "thtion OR thing", '"of the"', "(thtion OR thing) AND ther NOT ing", "thtion"
 THREE = '"of the" thing'
 
 
@@ -46,9 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, in tests, below a temporary one."""
+    """A new folder below spark.checkpoint.dir; where that is unset, in local mode only, below a temporary one."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         root = tempfile.mkdtemp(prefix="loomsearch-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -124,7 +126,7 @@ def _sets(spark, sf_dir, text):
 _MATCHES = {
     "word": (ONE, O.has("thtion")), "and": (TWO, f"{O.has('thtion')} INTERSECT {O.has('thing')}"), "or": (OR, f"{O.has('thtion')} UNION {O.has('thing')}"),
     "not": (NOT, f"{O.has('thtion')} EXCEPT {O.has('thing')}"), "phrase": (PHRASE, O.phrase("of", "the")),
-    "nested": (NESTED, f"(({O.has('thtion')} UNION {O.has('thing')}) INTERSECT {O.has('thest')}) EXCEPT (SELECT chunk, doc_idx FROM ({O.has('whing')}) z WHERE doc_idx IN (SELECT doc_idx FROM postings WHERE term = 'thest'))"),
+    "nested": (NESTED, f"(({O.has('thtion')} UNION {O.has('thing')}) INTERSECT {O.has('ther')}) EXCEPT (SELECT chunk, doc_idx FROM ({O.has('ing')}) z WHERE doc_idx IN (SELECT doc_idx FROM postings WHERE term = 'ther'))"),
 }
 for _name, (_text, _sql) in _MATCHES.items():
     for _kind, _run in (("match", _match), ("match_sets", _sets)):
@@ -197,9 +199,10 @@ def summary(spark, sf_dir):
     return search.summary(per.withColumn("seconds", F.col("shard") * F.lit(0.25)))
 
 
-@query(O.search(_AND, [["thtion", "thing"]]) + r""" SELECT url, regexp_extract(regexp_replace(url, '^(https://|http://|www\.)', ''), '^[^?]*') AS title, '' AS snippet, rank FROM ranked ORDER BY rank DESC, chunk, doc_idx LIMIT 32""")
+@query(O.search(_AND, [["thtion", "thing"]]) + r""", titled AS (SELECT *, regexp_extract(regexp_replace(url, '^(https://|http://|www\.)', ''), '^[^?]*') AS title FROM ranked)
+    SELECT url, title, '' AS snippet, rank, '{"url":"' || url || '","title":"' || title || '","snippet":"","rank":' || rank || '}' AS json FROM titled ORDER BY rank DESC, chunk, doc_idx LIMIT 32""")
 def search_response(spark, sf_dir):
-    return search.response(search.search(opened(spark, sf_dir), TWO)).drop("json")
+    return search.response(search.search(opened(spark, sf_dir), TWO))
 
 
 @query()
@@ -380,7 +383,7 @@ def stream_window_10s(spark, sf_dir):
 def stream_dedupe(spark, sf_dir):
     links = crawl.read_events(spark, sf_dir).select(F.concat(F.lit("https://site.example.org/"), F.col("user_id").cast("string")).alias("url"), F.col("event_id").alias("rank"))
     out = shared_path(spark, "queue")
-    crawl.dispatch(links, shared_path(spark, "stream"), out, cap=1 << 30, k=1 << 30)
+    crawl.dispatch(links, shared_path(spark, "stream"), out, cap=None, k=None)
     return spark.read.parquet(out).select("url")
 
 

@@ -123,7 +123,8 @@ class _Parser:
         """The link, then its words up to the anchor's end; an anchor within starts over, an image ends it, both drop the pending word."""
         s, n, words = self.s, self.n, self.page.words
         while True:
-            href, close = s.find("href", i), s.find(">", i)
+            close = s.find(">", i)
+            href = s.find("href", i, close) if close >= 0 else s.find("href", i)
             if close >= 0 and (href < 0 or close < href):
                 return close + 1
             quote = _QUOTE_OR_CLOSE.search(s, href) if href >= 0 else None

@@ -30,13 +30,20 @@ def fresh(found: DataFrame, seen: DataFrame) -> DataFrame:
     return once.join(seen.select("url"), "url", "left_anti").withColumn("host", U.frontier_host(F.col("url")))
 
 
+#: Parts that a host's rows are first capped in, so that a hot host isn't one task.
+SALTS = 64
+
+
 def cap_hosts(found: DataFrame, cap: int = HOST_CAP, arrival: str = "url") -> DataFrame:
-    """The first ``cap`` rows of each host by ``arrival``."""
-    return found.withColumn("nth", F.row_number().over(W.partitionBy("host").orderBy(arrival))).filter(F.col("nth") <= cap).drop("nth")
+    """The first ``cap`` rows of each host by ``arrival``: of each part of a host, then of what the parts leave."""
+    order = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(arrival, "url"))
+    parts = found.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS))).withColumn("nth", order("host", "salt")).filter(F.col("nth") <= cap)
+    return parts.withColumn("nth", order("host")).filter(F.col("nth") <= cap).drop("nth", "salt")
 
 
-def best(found: DataFrame, k: int = BEST) -> DataFrame:
-    return found.orderBy(F.desc("rank"), "url").limit(k)
+def best(found: DataFrame, k: int | None = BEST) -> DataFrame:
+    """The k best rows in order; all, as they come, without k."""
+    return found if k is None else found.orderBy(F.desc("rank"), "url").limit(k)
 
 
 def refill(found: DataFrame, sample: int = SAMPLE, k: int = BEST, seed: int = 0) -> tuple[DataFrame, DataFrame]:

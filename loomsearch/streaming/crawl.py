@@ -45,14 +45,14 @@ def run_once(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int]
     return query
 
 
-def dispatch(links: DataFrame, checkpoint: str, queue_path: str, cap: int = frontier.HOST_CAP, k: int = frontier.BEST) -> StreamingQuery:
-    """Append each batch's best new URLs, with a cap per host, to the queue, tagged with the batch that orders them.
+def dispatch(links: DataFrame, checkpoint: str, queue_path: str, cap: int | None = frontier.HOST_CAP, k: int | None = frontier.BEST) -> StreamingQuery:
+    """Append each batch's best new URLs, with a cap per host (None: no bound), to the queue, tagged with the batch that orders them.
 
     A batch that runs again after a failure overwrites its own part.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         rows = batch.withColumn("host", U.frontier_host(F.col("url")))
-        frontier.best(frontier.cap_hosts(rows, cap), k).write.mode("overwrite").parquet(f"{queue_path}/batch={number}")
+        frontier.best(rows if cap is None else frontier.cap_hosts(rows, cap), k).write.mode("overwrite").parquet(f"{queue_path}/batch={number}")
 
     return run_once(fresh_links(links), checkpoint, each)
