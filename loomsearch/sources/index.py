@@ -74,11 +74,16 @@ def dictionary_of(postings: DataFrame) -> DataFrame:
 
 
 def write(corpus: DataFrame, path: str) -> Index:
-    """Write the three tables below ``path``, partitioned by chunk, and open them."""
+    """Write the three tables below ``path``, partitioned by chunk, and open them. Texts are tokenised once, into a table that goes at the end."""
+    spark, tokenised = corpus.sparkSession, f"{path}/tokenised"
+    corpus.write.parquet(tokenised)
+    corpus = spark.read.schema(corpus.schema).parquet(tokenised)
     docs_of(corpus).write.partitionBy("chunk").parquet(f"{path}/docs")
     group_postings(occurrences(corpus)).sortWithinPartitions("chunk", "term", "field", "doc_idx").write.partitionBy("chunk").parquet(f"{path}/postings")
-    dictionary_of(corpus.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")).write.parquet(f"{path}/dictionary")
-    return load(corpus.sparkSession, path)
+    dictionary_of(spark.read.schema(POSTINGS).parquet(f"{path}/postings")).write.parquet(f"{path}/dictionary")
+    where = spark._jvm.org.apache.hadoop.fs.Path(tokenised)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return load(spark, path)
 
 
 def load(spark: SparkSession, path: str, chunks: list[int] | None = None) -> Index:
