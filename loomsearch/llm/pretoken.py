@@ -149,35 +149,139 @@ class HashedPieces:
             large, small = joined(large, (np.stack(small[:2], 1), *small[2:])), self._level(np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
         self.levels = [large, small]
 
+    def places(self, pieces: pa.StringArray, encode_words: Callable[[list[str]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each piece begin in ``flat``, and how many; unknown pieces are encoded."""
+        coded = pieces.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        keys = self.keys(words)
+        begin, count = self.find(keys)
+        if len(new := np.flatnonzero(count < 0)):
+            self.add(keys[new], encode_words([words[k] for k in new.tolist()]))
+            begin, count = self.find(keys)
+        where = coded.indices.to_numpy()
+        return begin[where], count[where]
 
-class NamedPieces:
-    """The same by the pieces themselves, in a dictionary: quicker, for where memory allows it."""
 
-    def __init__(self):
-        self.flat = np.zeros(0, np.uint32)
-        self.at: dict[str, int] = {}
-        self.begin, self.count = np.full(1, -1, np.int64), np.full(1, -1, np.int32)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_NO_KEY = np.uint64(2**64 - 1)
 
-    @property
-    def bytes(self) -> int:
-        return 4 * len(self.flat) + 180 * len(self.at)
 
-    @staticmethod
-    def keys(words: list[str]) -> np.ndarray:
-        out = np.empty(len(words), object)
-        out[:] = words
-        return out
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """``x``, or a copy at least twice as long, with ``n`` places or more."""
+    if n <= len(x):
+        return x
+    out = np.zeros(max(n, 2 * len(x)), x.dtype)
+    out[:len(x)] = x
+    return out
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        where = np.fromiter((self.at.get(w, 0) for w in keys), np.int64, len(keys))
-        return self.begin[where], self.count[where]
 
-    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
-        count = np.fromiter(map(len, ids), np.int32, len(ids))
-        begin = len(self.flat) + np.cumsum(count, dtype=np.int64) - count
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))])
-        self.at.update(zip(keys, range(len(self.begin), len(self.begin) + len(ids)), strict=True))
-        self.begin, self.count = np.concatenate([self.begin, begin]), np.concatenate([self.count, count])
+class PackedPieces:
+    """The same by the pieces themselves: one of up to 15 bytes is two whole numbers, its bytes and their count, in an open hash table of arrays,
+    so each occurrence is looked up without a Python object; longer ones are in a dictionary. Nothing rests on a hash alone."""
+
+    SHORT = 15
+
+    def __init__(self):
+        self.flat = np.zeros(1024, np.uint32)
+        # Entry 0 stands for an unknown piece: no piece has its key. The ids of entry k lie from at[k] to at[k + 1].
+        self.low, self.high, self.at = np.full(512, _NO_KEY), np.full(512, _NO_KEY), np.zeros(513, np.int64)
+        self.entries, self.slots = 1, np.zeros(1024, np.int32)
+        self.long: dict[str, int] = {}
+        self.long_bytes = 0
+
+    @property
+    def bytes(self) -> int:
+        return sum(x.nbytes for x in (self.flat, self.low, self.high, self.at, self.slots)) + self.long_bytes
+
+    @classmethod
+    def _keys(cls, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Two whole numbers for each piece, and which ones are short; the others have no key."""
+        bounds = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1)
+        start, size = bounds[:-1], np.diff(bounds)
+        padded = np.zeros(-(-(int(bounds[-1]) + 16) // 8) * 8 + 8, np.uint8)
+        padded[:bounds[-1]] = np.frombuffer(pieces.buffers()[2], np.uint8, int(bounds[-1]))
+        words = padded.view("<u8")
+
+        def eight(at: np.ndarray) -> np.ndarray:
+            k, shift = at >> 3, (at & 7).astype(np.uint64) << np.uint64(3)
+            return (words[k] >> shift) | (words[k + 1] << np.uint64(1) << (np.uint64(63) - shift))
+
+        low = eight(start) & _MASKS[np.minimum(size, 8)]
+        high = size.astype(np.uint64) << np.uint64(56)
+        more = np.flatnonzero(size > 8)
+        high[more] |= eight(start[more] + 8) & _MASKS[np.minimum(size[more] - 8, 7)]
+        short = size <= cls.SHORT
+        low[~short] = high[~short] = _NO_KEY
+        return low, high, short
+
+    def _first(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The slot where the search for each key begins."""
+        x = low * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        x += high * np.uint64(0xC2B2AE3D27D4EB4F)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        return (x >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The entry of each key, or 0."""
+        at = self._first(low, high)
+        entry = self.slots[at]
+        left = np.flatnonzero((entry != 0) & ((self.low[entry] != low) | (self.high[entry] != high)))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.slots) - 1)
+            entry[left] = e = self.slots[at]
+            on = (e != 0) & ((self.low[e] != low[left]) | (self.high[e] != high[left]))
+            left, at = left[on], at[on]
+        return entry
+
+    def _place(self, entry: np.ndarray) -> None:
+        """Give each of these entries a slot."""
+        at = self._first(self.low[entry], self.high[entry])
+        while len(entry):
+            free = self.slots[at] == 0
+            self.slots[at[free]] = entry[free]
+            on = self.slots[at] != entry
+            entry, at = entry[on], (at[on] + 1) & (len(self.slots) - 1)
+
+    def _add(self, low: np.ndarray, high: np.ndarray, ids: list[list[int]]) -> np.ndarray:
+        """New entries with these keys and ids; those without a key get no slot."""
+        n, begin = self.entries + len(ids), int(self.at[self.entries])
+        ends = begin + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        entry = np.arange(self.entries, n, dtype=np.int32)
+        self.low, self.high, self.at, self.flat = _room(self.low, n), _room(self.high, n), _room(self.at, n + 1), _room(self.flat, int(ends[-1]))
+        self.low[entry], self.high[entry], self.at[entry + 1] = low, high, ends
+        self.flat[begin:ends[-1]] = np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1]) - begin)
+        self.entries = n
+        if 2 * n > len(self.slots):
+            self.slots = np.zeros(2 << (2 * n).bit_length(), np.int32)
+            self._place(np.flatnonzero(self.high[:n] != _NO_KEY).astype(np.int32))
+        else:
+            self._place(entry[high != _NO_KEY])
+        return entry
+
+    def places(self, pieces: pa.StringArray, encode_words: Callable[[list[str]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each piece begin in ``flat``, and how many; unknown pieces are encoded."""
+        if not len(pieces):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        low, high, _ = self._keys(pieces)
+        entry = self._find(low, high)
+        if len(missing := np.flatnonzero(entry == 0)):
+            coded = pieces.take(pa.array(missing)).dictionary_encode()
+            words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            low, high, short = self._keys(coded.dictionary)
+            found = np.zeros(len(words), np.int32)
+            for k in np.flatnonzero(~short).tolist():
+                found[k] = self.long.get(words[k], 0)
+            if len(new := np.flatnonzero(found == 0)):
+                found[new] = self._add(low[new], high[new], encode_words([words[k] for k in new.tolist()]))
+                for k in new[~short[new]].tolist():
+                    self.long[words[k]] = int(found[k])
+                    self.long_bytes += 180 + 4 * len(words[k])
+            entry[missing] = found[coded.indices.to_numpy()]
+        begin = self.at[entry]
+        return begin, self.at[entry + 1] - begin
 
 
 class Encoder:
@@ -203,17 +307,9 @@ class Encoder:
         out: list[np.ndarray] = []
         for a, b in groups(texts, self.chars):
             pieces, per_text = split(texts[a:b])
-            coded = pieces.dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            keys = self.known.keys(words)
             if self.known.bytes > self.limit:
                 self.known = self.pieces()
-            begin, count = self.known.find(keys)
-            if len(new := np.flatnonzero(count < 0)):
-                self.known.add(keys[new], self.encode_words([words[k] for k in new.tolist()]))
-                begin, count = self.known.find(keys)
-            where = coded.indices.to_numpy()
-            begin, count = begin[where], count[where]
+            begin, count = self.known.places(pieces, self.encode_words)
             total = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
             source = np.repeat(begin - total[:-1], count) + np.arange(total[-1])
             ids = self.known.flat[source]

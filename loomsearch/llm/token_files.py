@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,18 +27,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, hold, listed, open_fs, ship, tidy
-from .pretoken import Encoder, NamedPieces, groups
+from .pretoken import Encoder, PackedPieces, groups
 
 LENGTH, ROWS = 2048, 64
 END_ID = 2
 #: Characters of texts that are encoded at once.
 CHARS = 1_600_000
+#: The character that stands for each byte in a byte-level vocabulary: printing ones for themselves, the others from U+0100 on.
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+BYTE_NAMES = "".join(chr(256 + _OTHERS.index(b)) if b in _OTHERS else chr(b) for b in range(256))
 
 
 class LibraryEncoder:
     """The ids that the tokenizers library gives each text, with its own settings and without special tokens around it.
 
-    Where the file's tokenizer is byte-level without a normaliser, the library encodes each distinct piece of the texts
+    Where the file's tokenizer is byte-level without a normaliser, truncation or padding, the library's model encodes each distinct piece of the texts
     once; a text that holds the string of an added token, as ``<|endoftext|>``, and any text of another tokenizer is encoded by it whole.
     """
 
@@ -51,11 +55,16 @@ class LibraryEncoder:
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
         split = spec.get("pre_tokenizer") or {}
-        self.piecewise = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        self.piecewise = not any(spec.get(k) for k in ("normalizer", "truncation", "padding")) and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces = Encoder(lambda words: [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)], 128_000_000, CHARS, NamedPieces)
+        self.pieces = Encoder(self._words, 128_000_000, CHARS, PackedPieces)
         self.most = max(self.library.get_vocab(with_added_tokens=True).values())
 
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """The ids of pieces by the library's model: each is one match of the splitter already, so only its bytes are left to name."""
+        tokenize = self.library.model.tokenize
+        return [[t.id for t in tokenize(charmap_decode(w.encode(), "strict", BYTE_NAMES)[0])] for w in words]
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         whole = [not self.piecewise or any(a in t for a in self.added) for t in texts]
         ids = iter(self.pieces([t for t, w in zip(texts, whole, strict=True) if not w]))
