@@ -1,23 +1,27 @@
 """The positional index as tables: docs, postings and dictionary.
 
-Postings hold a row per chunk, term, field and document, with its positions in ascending order. They are range
-partitioned and sorted by term within a chunk, so that Parquet's statistics skip what a query's terms don't need. One
-shuffle builds them: the range partitioning by term and document serves the grouping too, and splits the postings of a
-common term by document.
+Postings hold a row per chunk, term, field and document, with its positions in ascending order. Each task writes those of its
+documents, sorted by term within a chunk, so that the statistics of Parquet's pages skip what a query's terms don't need. A
+document's postings come from its row alone, so nothing is shuffled, and a common term is spread as its documents are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..functions import tokens
+from ..functions.batches import keep_small, tidy
 from ..functions.html import parse_pages
 from ..operators.static_rank import static_rank
 
 CHUNKS = 5
+#: Row groups of the table of tokens, which tasks are dealt by.
+SPLIT_BYTES = 8 << 20
 DOCS = "doc_idx bigint, url string, static_rank int, n_tokens int, chunk int"
 POSTINGS = "term string, field string, doc_idx bigint, positions array<int>, chunk int"
 
@@ -33,22 +37,31 @@ def corpus_from_documents(documents: DataFrame) -> DataFrame:
     """doc_idx, chunk, url, static_rank, title_terms, body_terms of plain documents; their URLs are made up from source, language and id."""
     some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
     url = F.concat(F.lit("https://"), some("source"), F.lit(".example.org/"), some("lang"), F.lit("/"), some("doc_id"))
-    return documents.select(
-        F.col("doc_id").alias("doc_idx"), F.pmod("doc_id", F.lit(CHUNKS)).cast("int").alias("chunk"), url.alias("url"), F.lit(0).alias("static_rank"),
-        F.array().cast("array<string>").alias("title_terms"), T.terms(F.col("text")).alias("body_terms"))
+    base = documents.select(
+        F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("doc_idx"), F.pmod("doc_id", F.lit(CHUNKS)).cast("int").alias("chunk"), url.alias("url"), F.lit(0).alias("static_rank"))
+    keep_small(documents.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in tokens.groups(tokens.sizes(batch.column(0)), tokens.GROUP_BYTES):
+                part = batch.slice(start, stop - start)
+                kept = {name: part.column(k + 1) for k, name in enumerate(batch.schema.names[1:])}
+                yield pa.record_batch(kept | {"title_terms": pa.array([[]] * len(part), pa.list_(pa.string())), "body_terms": tokens.terms_of_texts(part.column(0))})
+
+    shape = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in base.schema[1:])
+    return base.mapInArrow(tidy(run), shape + "title_terms array<string>, body_terms array<string>")
 
 
 def corpus_from_pages(pages: DataFrame, english_only: bool = True) -> DataFrame:
     """The same of HTML pages: extracted, only English ones unless told otherwise, with canonical URLs and static ranks."""
     from ..functions.urls import canonical
 
-    parsed = parse_pages(pages.select("page_id", "url", "html"))
+    parsed = parse_pages(pages.select("page_id", "url", "html"), columns=("img_count", "n_links", "n_words", "is_english", "title_terms", "body_terms"))
     if english_only:
         parsed = parsed.filter("is_english")
     return parsed.select(
         F.col("page_id").alias("doc_idx"), F.pmod("page_id", F.lit(CHUNKS)).cast("int").alias("chunk"), canonical(F.col("url")).alias("url"),
-        static_rank(F.col("url"), F.col("img_count"), F.size("links"), F.size("words")).alias("static_rank"),
-        T.index_terms(F.col("title_words")).alias("title_terms"), T.index_terms(F.col("words")).alias("body_terms"))
+        static_rank(F.col("url"), F.col("img_count"), F.col("n_links"), F.col("n_words")).alias("static_rank"), "title_terms", "body_terms")
 
 
 def occurrences(corpus: DataFrame) -> DataFrame:
@@ -59,11 +72,24 @@ def occurrences(corpus: DataFrame) -> DataFrame:
 
 
 def group_postings(rows: DataFrame) -> DataFrame:
+    """Postings of ``occurrences``, by a shuffle."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = ["chunk", "term", "field", "doc_idx"]
     return rows.repartitionByRange(n, *key).groupBy(*key).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def postings_of(corpus: DataFrame, docs: DataFrame) -> DataFrame:
+    """Postings from each row of ``corpus``; those of documents that ``docs`` lists more than once are grouped by a shuffle, as each is one posting."""
+    keep_small(corpus.sparkSession)
+    own = lambda rows: rows.select("chunk", "doc_idx", "title_terms", "body_terms").mapInArrow(tidy(tokens.postings), POSTINGS)
+    repeated = docs.groupBy("chunk", "doc_idx").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("chunk").alias("c"), F.col("doc_idx").alias("d"))
+    if repeated.isEmpty():
+        return own(corpus)
+    same = F.col("chunk").eqNullSafe(F.col("c")) & F.col("doc_idx").eqNullSafe(F.col("d"))
+    grouped = group_postings(occurrences(corpus.join(repeated, same, "left_semi")))
+    return own(corpus.join(repeated, same, "left_anti")).unionByName(grouped)
+
+
 def docs_of(corpus: DataFrame) -> DataFrame:
     return corpus.select("chunk", "doc_idx", "url", "static_rank", (F.size("title_terms") + F.size("body_terms")).alias("n_tokens"))
 
@@ -76,10 +102,11 @@ def dictionary_of(postings: DataFrame) -> DataFrame:
 def write(corpus: DataFrame, path: str) -> Index:
     """Write the three tables below ``path``, partitioned by chunk, and open them. Texts are tokenised once, into a table that goes at the end."""
     spark, tokenised = corpus.sparkSession, f"{path}/tokenised"
-    corpus.write.parquet(tokenised)
+    corpus.write.option("parquet.block.size", str(SPLIT_BYTES)).parquet(tokenised)
     corpus = spark.read.schema(corpus.schema).parquet(tokenised)
     docs_of(corpus).write.partitionBy("chunk").parquet(f"{path}/docs")
-    group_postings(occurrences(corpus)).sortWithinPartitions("chunk", "term", "field", "doc_idx").write.partitionBy("chunk").parquet(f"{path}/postings")
+    docs = spark.read.schema(DOCS).parquet(f"{path}/docs")
+    postings_of(corpus, docs).sortWithinPartitions("chunk", "term", "field", "doc_idx").write.partitionBy("chunk").parquet(f"{path}/postings")
     dictionary_of(spark.read.schema(POSTINGS).parquet(f"{path}/postings")).write.parquet(f"{path}/dictionary")
     where = spark._jvm.org.apache.hadoop.fs.Path(tokenised)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
