@@ -278,29 +278,29 @@ def percent_decoding(spark, sf_dir):
 
 @query("""SELECT page_id, starts_with(regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1), 'en') AS is_english FROM pages""")
 def html_is_english(spark, sf_dir):
-    return html.parse_pages(table(spark, sf_dir, "pages")).select("page_id", "is_english")
+    return html.parse_pages(table(spark, sf_dir, "pages").select("page_id", "html"), columns=("is_english",))
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '<[^>]*>', '', 'g'), '[ \t\n\r]+', ' ', 'g')) AS title FROM pages""")
 def html_titles(spark, sf_dir):
-    return html.parse_pages(table(spark, sf_dir, "pages")).select("page_id", T.join_words(F.col("title_words")).alias("title"))
+    return html.parse_pages(table(spark, sf_dir, "pages").select("page_id", "html"), columns=("title_words",)).select("page_id", T.join_words(F.col("title_words")).alias("title"))
 
 
 @query()
 def html_words(spark, sf_dir):
-    return html.parse_pages(table(spark, sf_dir, "pages")).select("page_id", F.posexplode("words").alias("at", "word"))
+    return html.parse_pages(table(spark, sf_dir, "pages").select("page_id", "html"), columns=("words",)).select("page_id", F.posexplode("words").alias("at", "word"))
 
 
 @query(r"""SELECT page_id, string_agg(l, ' ' ORDER BY k) AS links FROM (SELECT page_id, unnest(ls) AS l, unnest(range(len(ls))) AS k
     FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS ls FROM pages)) GROUP BY page_id""")
 def html_links(spark, sf_dir):
-    return html.parse_pages(table(spark, sf_dir, "pages")).filter(F.size("links") > 0).select("page_id", F.array_join("links", " ").alias("links"))
+    return html.parse_pages(table(spark, sf_dir, "pages").select("page_id", "html"), columns=("links",)).filter(F.size("links") > 0).select("page_id", F.array_join("links", " ").alias("links"))
 
 
 @query()
 def page_static_rank(spark, sf_dir):
-    p = html.parse_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return p.select("page_id", static_rank(F.col("url"), F.col("img_count"), F.size("links"), F.size("words")).alias("static_rank"))
+    p = html.parse_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), columns=("img_count", "n_links", "n_words"))
+    return p.select("page_id", static_rank(F.col("url"), F.col("img_count"), F.col("n_links"), F.col("n_words")).alias("static_rank"))
 
 
 @query()
@@ -310,14 +310,14 @@ def page_index(spark, sf_dir):
 
 @query()
 def page_snippets(spark, sf_dir):
-    return search.snippets(html.parse_pages(table(spark, sf_dir, "pages").select("url", "html")))
+    return search.snippets(html.parse_pages(table(spark, sf_dir, "pages").select("url", "html"), columns=("title_words", "description")))
 
 
 # Frontier.
 
 def _links(spark, sf_dir):
-    p = html.parse_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return frontier.links(p.withColumn("static_rank", static_rank(F.col("url"), F.col("img_count"), F.size("links"), F.size("words"))))
+    p = html.parse_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), columns=("links", "img_count", "n_words"))
+    return frontier.links(p.withColumn("static_rank", static_rank(F.col("url"), F.col("img_count"), F.size("links"), F.col("n_words"))))
 
 
 _LINK_SQL = rf"""l0 AS (SELECT page_id, url, unnest(ls) AS link, unnest(range(len(ls)))::INTEGER AS "at" FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS ls FROM pages)),
